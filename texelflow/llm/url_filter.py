@@ -24,6 +24,7 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: Characters in the order of their codes from 1; code 0 stands for all others and for the start.
 CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789./-_?=&#%:+~,@!*"
 ALPHABET = len(CHARACTERS) + 1
+START = "\x01"
 ORDER = 2
 SCALE = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,27 +49,24 @@ def judged_by_rule(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataF
     return rows.withColumns({"rule": named, "__action": acted})
 
 
-def grams(host: Column, path: Column) -> Column:
-    """For each character of host and path: context and character as one number below ALPHABET ** (ORDER + 1)."""
-    shown = F.translate(F.concat(host, path), UPPER, LOWER)
-    kinds = F.transform(F.filter(F.split(shown, ""), lambda c: c != ""), lambda c: F.instr(F.lit(CHARACTERS), c))
-    padded = F.concat(F.array_repeat(F.lit(0), ORDER), kinds)
+def grams(rows: DataFrame, keep: list[str], outer: bool = False) -> DataFrame:
+    """keep and gram: for each character of host and path, context and character as one number below
+    ALPHABET ** (ORDER + 1); with `outer` also a row without a gram for an empty url."""
+    shown = F.translate(F.concat("host", "path"), UPPER, LOWER)
+    places = F.when(F.char_length("__shown") > 0, F.sequence(F.lit(1), F.char_length("__shown")))
+    rows = rows.withColumn("__shown", shown).select(*keep, F.concat(F.lit(START * ORDER), "__shown").alias("__padded"), (F.explode_outer if outer else F.explode)(places).alias("__i"))
+    number = F.lit(0)
+    for k in range(ORDER + 1):
+        number = number * ALPHABET + F.instr(F.lit(CHARACTERS), F.substring("__padded", F.col("__i") + k, F.lit(1)))
+    return rows.select(*keep, number.alias("gram"))
 
-    def number(_: Column, i: Column) -> Column:
-        out = F.get(padded, i)
-        for k in range(1, ORDER + 1):
-            out = out * ALPHABET + F.get(padded, i + k)
-        return out
 
-    return F.transform(kinds, number)
-
-
-def log_ratios(judged: DataFrame) -> DataFrame:
+def log_ratios(judged: DataFrame, scratch: Scratch) -> DataFrame:
     """gram, ratio: the log-ratio of accepted to rejected, in millionths, of every possible gram.
 
-    judged: `g` (array of grams) and `__action`. Counts cover all rows and are added up before the shuffle."""
+    judged: host, path and `__action`. Counts cover all rows and are added up before the shuffle."""
     size = ALPHABET ** (ORDER + 1)
-    counted = judged.select("__action", F.explode("g").alias("gram")).groupBy("__action", "gram").agg(F.count("*").alias("n"))
+    counted = scratch.save(grams(judged, ["__action"]).groupBy("__action", "gram").agg(F.count("*").alias("n")), "counts")
     sides = []
     for action in ("allow", "block"):
         counts = counted.filter(F.col("__action") == action)
@@ -90,12 +88,13 @@ def log_ratios(judged: DataFrame) -> DataFrame:
 def verdicts(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
     """pages with host, path, rule, score (per character, in millionths) and verdict."""
     scratch = Scratch(pages.sparkSession, "urls")
-    rows = judged_by_rule(pages, url_col, rules).withColumn("g", grams(F.col("host"), F.col("path")))
-    model = scratch.save(log_ratios(rows.filter(F.col("__action").isNotNull()).select("__action", "g")), "model")
-    kept = [c for c in rows.columns if c != "g"]
-    numbered = rows.withColumn("__row", F.monotonically_increasing_id()).select("__row", *kept, F.explode_outer("g").alias("gram"))
+    rows = judged_by_rule(pages, url_col, rules)
+    model = scratch.save(log_ratios(rows.filter(F.col("__action").isNotNull()), scratch), "model")
+    kept = rows.columns
+    numbered = grams(rows.withColumn("__row", F.monotonically_increasing_id()), ["__row", *kept], outer=True)
     # a row's grams stay in one task, where they are added up before the shuffle; the model's size is fixed
     scored = numbered.join(F.broadcast(model), "gram", "left").groupBy("__row", *kept).agg(F.coalesce(F.sum("ratio"), F.lit(0)).alias("t"), F.count("gram").alias("n"))
+    scored = scratch.save(scored, "scored")
     scored = scored.withColumn("score", F.when(F.col("n") > 0, F.col("t") / F.col("n")).otherwise(F.lit(0.0)))
     mean = lambda a: F.sum(F.when(F.col("__action") == a, F.col("t"))) / F.sum(F.when(F.col("__action") == a, F.col("n")))
     threshold = scratch.save(scored.agg(((mean("allow") + mean("block")) / 2).alias("threshold")), "threshold").first()[0]
