@@ -20,16 +20,17 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, text_of
 
-LEAF_BYTES = 64
+LEAF_BYTES = 256
 #: A text of more characters is halved.
 LEAF_CHARS = 16384
-_LONG = re.compile(rf"\S{{{LEAF_BYTES // 4},}}|\s{{{LEAF_BYTES // 4},}}")
+_LONG = re.compile(rf"\S{{{LEAF_BYTES // 4},}}|\s{{{LEAF_BYTES // 4},}}")  # a character has 4 bytes at most
 _SEAM = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -83,13 +84,26 @@ class TreeBpe:
     def encode(self, text: str) -> list[int]:
         if len(text) > LEAF_CHARS and (seam := _SEAM.search(text, len(text) // 2)) and seam.start() < len(text) * 3 // 4:
             return self.encode(text[: seam.start()]) + self.encode(text[seam.start() :])
-        if not _LONG.search(text):  # every match is a leaf, and matches are independent
+        if self.all_leaves(text):  # matches are independent
             return self.base.encode_ordinary(text)
         out: list[int] = []
         for m in self.split.findall(text):
             out += self.piece(m.encode())
         return out
 
+    def all_leaves(self, text: str) -> bool:
+        """Whether no match of the pattern is longer than a leaf."""
+        words = text.split()
+        if not words:
+            return len(text) < LEAF_BYTES // 4
+        blanks = len(text) - sum(map(len, words))
+        if max(map(len, words)) < LEAF_BYTES // 4 and blanks < len(words) + LEAF_BYTES // 4 - 2:
+            return True
+        return not _LONG.search(text)
+
+    def encode_array(self, text: str) -> np.ndarray:
+        return self.base.encode_to_numpy(text) if len(text) <= LEAF_CHARS and self.all_leaves(text) else np.asarray(self.encode(text), np.uint32)
+
     def decode(self, ids: list[int]) -> bytes:
         """Concatenation up the tree; join() of byte strings is that of all leaves at once."""
         return b"".join(map(self.bytes_of.__getitem__, ids))

@@ -78,8 +78,8 @@ def _encoded(docs: DataFrame, ranks: str, end_id: int, id_col: str, text_col: st
             mean = np.zeros((batch.num_rows, DIMS))
             kept, n = [], []
             for k, text in enumerate(batch.column(1)):
-                ids = np.append(np.asarray(tree.encode(text.as_py()), np.int64), end_id)
-                mean[k] = project[ids].mean(0)
+                ids = np.append(tree.encode_array(text.as_py()), np.uint32(end_id))
+                mean[k] = project.take(ids, 0).sum(0) / len(ids)
                 kept.append(ids.astype(wide).tobytes())
                 n.append(len(ids))
             cells = ((np.tanh(mean * 3) * 0.5 + 0.5) * ((1 << BITS) - 1)).astype(np.int64)
