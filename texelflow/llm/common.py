@@ -90,10 +90,15 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
-#: Rows to drop are broadcast up to this count, else joined by a shuffle.
+#: Lists of rows are broadcast up to this count, else joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
+def if_small(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it has at most BROADCAST_ROWS rows; else it's shuffled."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """Names a row by its id and whole text, however often the table is read; equal only for repeated rows."""
     return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.sha2(text_of(text_col), 224))
@@ -106,7 +111,7 @@ def keep_decided(docs: DataFrame, decided: DataFrame, scratch: Scratch, id_col:
     gone = scratch.save(per_key.filter("not kept or n > 1").withColumnRenamed("doc", "__doc"), "gone")
     rows = docs.withColumn("__row", row_key(id_col, text_col))
     on = F.col("__row") == F.col("__doc")
-    out = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, on, "left_anti").drop("__row")
+    out = rows.join(if_small(gone), on, "left_anti").drop("__row")
     again = gone.filter("kept and n > 1")
     if again.isEmpty():
         return out

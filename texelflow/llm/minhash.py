@@ -6,8 +6,8 @@ to one of COORDINATES coordinates, and the earliest dart a coordinate gets is it
 into widening regions; a text throws into the next one only until all its coordinates have a dart.
 
 Links: texts with the same set of shingles are one node. Nodes that agree in a band of ROWS coordinates share a
-bucket. Within buckets, pairs whose signatures don't rule it out are compared exactly (Jaccard of their shingle
-sets, SIMILARITY or more) until the bucket's nodes are joined as far as they can be; only links that join two
+bucket. Within buckets, pairs whose signatures don't rule it out are compared (Jaccard of their whole shingle
+sets, 40 bits a shingle, SIMILARITY or more) until the bucket's nodes are joined as far as they can be; only links that join two
 classes are written. Buckets of more than BLOCK nodes are solved in random blocks first; then those of their
 nodes that are outside the bucket's largest class are compared with all its nodes, block by block. So no link
 is given up and no group meets in one task.
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, hot_keys, keep_decided, row_key, salted_join, text_of
+from .common import Scratch, arrow_map, hot_keys, if_small, keep_decided, row_key, salted_join, text_of
 from .text_hash import grouped, mix, shingles, words
 
 SIMILARITY = 0.8
@@ -36,6 +36,7 @@ SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
 BLOCK = 384
+FOLD_BITS = 20
 #: Signatures that agree in a smaller share are at least six standard deviations below SIMILARITY.
 RULED_OUT = SIMILARITY - 6 * (SIMILARITY * (1 - SIMILARITY) / COORDINATES) ** 0.5
 #: Rank regions: the first is this wide, each next one as wide as all before.
@@ -135,6 +136,17 @@ def sketched(docs: DataFrame, size: int = SHINGLE_WORDS, id_col: str = "doc_id",
     return arrow_map(rows, run, f"row bigint, id {kind}, doc string, same binary, sig binary, bands array<bigint>")
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    """The upper 40 bits of sorted hashes."""
+    return (hashes >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").reshape(-1)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / max(1, len(a) + len(b) - both)
@@ -144,7 +156,7 @@ def solve(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links (a, b) that join classes of one block: rows node, label, sig, shingles."""
     pdf = pdf.drop_duplicates("node").sort_values("node")
     nodes, sig = pdf["node"].to_numpy(), np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-    sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+    sets = [_unpacked(x) for x in pdf["shingles"]]
     root = {x: x for x in pdf["label"]}
     label = list(pdf["label"])
 
@@ -204,20 +216,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = salted_join(sketch.select("row", "id", "doc", "same"), same.select("same", "node"), ["same"], hot_keys(same, ["same"], "n", total), F.col("row")).drop("same")
     rows = scratch.save(rows, "rows")
     # buckets of the bands; of those with equal members one is enough
-    heads = sketch.join(same.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), F.explode("bands").alias("bucket"))
-    heads = scratch.save(heads, "bands")
-    buckets = heads.groupBy("bucket").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(7, node))").alias("y")).filter("n > 1")
-    buckets = scratch.save(buckets.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "buckets")
-    members = salted_join(heads, buckets, ["bucket"], hot_keys(buckets, ["bucket"], "n", total), F.col("node"))
+    copies = scratch.save(rows.filter("row != node").select("row"), "copies")
+    heads = sketch.select("row", "bands").join(if_small(copies), "row", "left_anti").select(F.col("row").alias("node"), F.explode("bands").alias("bucket"))
+    shared = scratch.save(heads.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    fold = F.pmod("bucket", F.lit(1 << FOLD_BITS)).cast("int")
+    folds = F.broadcast(shared.select(fold.alias("fold")).distinct())  # at most 2**FOLD_BITS numbers
+    few = heads.withColumn("fold", fold).join(folds, "fold", "left_semi").drop("fold")
+    members = scratch.save(salted_join(few, shared, ["bucket"], hot_keys(shared, ["bucket"], "n", total), F.col("node")), "shared-members")
+    alike = members.groupBy("bucket", "n").agg(F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(7, node))").alias("y"))
+    buckets = scratch.save(alike.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "buckets")
+    members = salted_join(members.drop("n"), buckets, ["bucket"], hot_keys(buckets, ["bucket"], "n", total), F.col("node"))
     members = scratch.save(members, "members")
-    wanted = scratch.save(sketch.select(F.col("row").alias("node"), "doc", "sig").join(members.select("node").distinct(), "node"), "wanted")
-    fold = F.pmod(F.xxhash64("doc"), F.lit(1 << 20)).cast("int")
-    folded = F.broadcast(wanted.select(fold.alias("fold")).distinct())  # at most 2**20 numbers
+    nodes = scratch.save(members.select(F.col("node").alias("row")).distinct(), "nodes")
+    wanted = scratch.save(sketch.select("row", "doc", "sig").join(if_small(nodes), "row").withColumnRenamed("row", "node"), "wanted")
+    fold = F.pmod(F.xxhash64("doc"), F.lit(1 << FOLD_BITS)).cast("int")
+    folded = F.broadcast(wanted.select(fold.alias("fold")).distinct())  # at most 2**FOLD_BITS numbers
     texts = docs.select(row_key(id_col, text_col).alias("doc"), text_of(text_col).alias("text")).withColumn("fold", fold).join(folded, "fold").drop("fold")
     sets = scratch.save(_sets(texts.join(wanted, "doc").select("node", "sig", "text"), size), "sets")
 
     def solved(rows: DataFrame, by: list[str]) -> DataFrame:
-        full = rows.join(sets, "node").select(*by, "node", "label", "sig", "shingles")
+        own = scratch.save(rows.select("node").distinct(), f"nodes-{scratch.next()}")
+        full = rows.join(sets.join(if_small(own), "node", "left_semi"), "node").select(*by, "node", "label", "sig", "shingles")
         return scratch.save(full.groupBy(*by).applyInPandas(solve, "a bigint, b bigint"), f"links-{scratch.next()}")
 
     def part(seed: int, n: Column) -> Column:
@@ -251,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _sets(rows: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for _, got in shingle_sets(batch.column(2).to_pylist(), size) for s, _ in got]
+            sets = [_packed(s) for _, got in shingle_sets(batch.column(2).to_pylist(), size) for s, _ in got]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["node", "sig", "shingles"])
 
     return arrow_map(rows, run, "node bigint, sig binary, shingles binary")
