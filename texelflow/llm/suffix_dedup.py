@@ -41,6 +41,8 @@ HOT_GROUP = 2048
 #: Suffixes in a run; a run is sorted in memory.
 RUN = 20_000
 END = b"\xff"  # in no UTF-8 text
+#: Anchors have small hashes; an odd factor spreads them over the ranges.
+SPREAD = 0x9E3779B97F4A7C15
 DOC = ["d1", "d2"]
 
 
@@ -107,7 +109,7 @@ def _runs(rows: DataFrame, parts: int) -> DataFrame:
                 raw = text.encode()
                 for s in spans:
                     a, b, p = s["a"], s["b"], s["p"]
-                    key = (s["gram"] + (1 << 63)).to_bytes(8, "big") + raw[p : b + WINDOW] + END + raw[a:p][::-1] + END
+                    key = (s["gram"] * SPREAD % (1 << 64)).to_bytes(8, "big") + raw[p : b + WINDOW] + END + raw[a:p][::-1] + END
                     items.append((key, (d1, d2, p, s["single"])))
                 if len(items) >= RUN:
                     yield from flush(items)

@@ -25,7 +25,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def grouped(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def grouped(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
     """(first index, UTF-8 texts) of runs of about `most` bytes, to bound the arrays."""
     first, run, size = 0, [], 0
     for k, t in enumerate(texts):
