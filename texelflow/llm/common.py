@@ -42,6 +42,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/texelflow-{name}-{uuid.uuid4().hex}"
         self.numbers = itertools.count()
+        self.saved: set[str] = set()
         atexit.register(self.drop)
 
     def next(self) -> int:
@@ -51,10 +52,17 @@ class Scratch:
         return f"{self.root}/{table}"
 
     def save(self, df: DataFrame, table: str, partition_by: str | None = None) -> DataFrame:
+        self.saved.add(table)
         writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
+    def keep(self, *tables: str) -> None:
+        """Remove all tables but these, that a result still reads."""
+        for table in self.saved - set(tables):
+            self.drop(table)
+        self.saved &= set(tables)
+
     def drop(self, table: str = "") -> None:
         with contextlib.suppress(Exception):  # the session may have ended before its process
             at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}" if table else self.root)

@@ -263,6 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             labels = components(links, scratch)
     of = scratch.save(_labelled(rows, labels), "classes")
     classes = scratch.save(of.groupBy("label").agg(F.max(F.struct("id", "row")).alias("best"), F.count("*").alias("class_size")).filter("class_size > 1"), "best")
+    scratch.keep("classes", "best")
     out = salted_join(of, classes, ["label"], hot_keys(classes, ["label"], "class_size", total), F.col("row"), "left")
     return out.select("id", "doc", F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("bigint")).alias("class_size"), F.coalesce(F.col("best.row") == F.col("row"), F.lit(True)).alias("kept"))
 

@@ -244,7 +244,9 @@ def covered(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
         again = scratch.save(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1"), "again")
         hits = salted_join(windows.filter("single"), again.select("w1", "w2"), ["w1", "w2"], hot_keys(again, ["w1", "w2"], "n", windows.count()), F.xxhash64(*DOC))
         covers = covers.unionByName(hits.select(*DOC, F.col("s").alias("begin"), (F.col("s") + window).cast("int").alias("end")))
-    return scratch.save(covers.groupBy(*DOC).agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "covered")
+    out = scratch.save(covers.groupBy(*DOC).agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "covered")
+    scratch.keep("covered")
+    return out
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", hot_group: int = HOT_GROUP, with_text: bool = True) -> DataFrame:
