@@ -5,10 +5,14 @@ from __future__ import annotations
 
 class Bits:
     def __init__(self, data: bytes):
-        self.value, self.at = int.from_bytes(data, "little"), 0
+        self.data, self.at = data, 0
+
+    def peek(self, n: int) -> int:
+        """The next n bits, at most 32."""
+        return int.from_bytes(self.data[self.at >> 3 : (self.at >> 3) + 5], "little") >> (self.at & 7) & ((1 << n) - 1)
 
     def take(self, n: int) -> int:
-        out = self.value >> self.at & ((1 << n) - 1)
+        out = self.peek(n)
         self.at += n
         return out
 
@@ -36,25 +40,62 @@ class Bits:
         return q << n | self.take(n)
 
 
+#: Order in which the lengths of the length code are stored; codes above 16 are runs.
+LENGTH_ORDER = (17, 18, 19, 20, 0, 8, 7, 9, 6, 10, 5, 11, 4, 12, 3, 13, 2, 14, 1, 15, 16)
+#: code: extra bits, least run, whether it repeats the last length (else zeros)
+RUNS = {17: (3, 3, False), 18: (7, 11, False), 19: (2, 3, True), 20: (7, 7, True)}
+
+
 class Huffman:
-    """Canonical codes given by their lengths, read bit by bit from the highest."""
+    """Canonical codes given by their lengths; a code's highest bit comes first in the stream."""
 
     def __init__(self, lengths: list[int]):
-        code, self.codes = 0, {}
-        for n in range(1, max(lengths, default=0) + 1):
+        self.width = max(lengths, default=0)
+        if sum(2.0**-n for n in lengths if n) > 1:
+            raise ValueError("too many Huffman codes")
+        self.lengths = lengths
+        self.table: list[tuple[int, int] | None] = [None] * (1 << self.width)
+        code = 0
+        for n in range(1, self.width + 1):
             for symbol, own in enumerate(lengths):
                 if own == n:
-                    self.codes[n, code] = symbol
+                    for k in range(int(f"{code:0{n}b}"[::-1], 2), 1 << self.width, 1 << n):
+                        self.table[k] = symbol, n
                     code += 1
             code <<= 1
 
     def read(self, bits: Bits) -> int:
-        code = 0
-        for n in range(1, 17):
-            code = code << 1 | bits.take(1)
-            if (symbol := self.codes.get((n, code))) is not None:
-                return symbol
-        raise ValueError("no such Huffman code")
+        found = self.table[bits.peek(self.width)] if self.width else None
+        if found is None:
+            raise ValueError("no such Huffman code")
+        bits.at += found[1]
+        return found[0]
+
+    @classmethod
+    def stored(cls, bits: Bits) -> Huffman:
+        """A table as streams carry it: run-length coded lengths under a code of their own."""
+        symbols = bits.take(14)
+        if not symbols:
+            return cls([])
+        first = [0] * len(LENGTH_ORDER)
+        count = bits.take(5)
+        if not 1 <= count <= len(LENGTH_ORDER):
+            raise ValueError("bad Huffman table")
+        for place in LENGTH_ORDER[:count]:
+            first[place] = bits.take(3)
+        coder, lengths = cls(first), []
+        while len(lengths) < symbols:
+            code = coder.read(bits)
+            if code <= 16:
+                lengths.append(code)
+                continue
+            extra, least, repeats = RUNS[code]
+            if repeats and not (lengths and lengths[-1]):
+                raise ValueError("bad Huffman table")
+            lengths += [lengths[-1] if repeats else 0] * (bits.take(extra) + least)
+        if len(lengths) > symbols:
+            raise ValueError("bad Huffman table")
+        return cls(lengths)
 
 
 class MoveToFront:
