@@ -39,18 +39,24 @@ def total(values: Column) -> Column:
     return F.aggregate(values, long(0), lambda a, b: a + b)
 
 
-def bc4(values: Column) -> Column:
-    """struct(hi, lo, selectors): end points and 16 selectors of 3 bits."""
-    hi, lo = F.array_max(values), F.array_min(values)
-    delta = hi - lo
+def bc4(rows: DataFrame, channels: dict[str, Column], keep: tuple[str, ...]) -> DataFrame:
+    """keep, and for each prefix its hi, lo, selectors: end points and 16 selectors of 3 bits.
+
+    End points are columns of their own, so that no texel works them out again."""
+    rows = rows.select(*keep, *[values.alias(f"{n}v") for n, values in channels.items()])
+    rows = rows.withColumns({f"{n}{k}": f(f"{n}v") for n in channels for k, f in (("hi", F.array_max), ("lo", F.array_min))})
+    return rows.select(*keep, *[c for n in channels for c in (f"{n}hi", f"{n}lo", _bc4_selectors(n).alias(f"{n}selectors"))])
+
+
+def _bc4_selectors(n: str) -> Column:
+    delta = F.col(f"{n}hi") - F.col(f"{n}lo")
     selectors = F.array(*[long(s) for s in BC4_SELECTORS])
 
     def one(v: Column, i: Column) -> Column:
-        reached = sum(((v - lo) * 14 + 4 >= delta * k).cast("int") for k in (13, 11, 9, 7, 5, 3, 1))
-        # a shift by an expression: 8 ** i
-        return F.get(selectors, reached) * F.pow(F.lit(8.0), i).cast("bigint")
+        reached = sum(((v - F.col(f"{n}lo")) * 14 + 4 >= delta * k).cast("int") for k in (13, 11, 9, 7, 5, 3, 1))
+        return F.get(selectors, reached) * F.pow(F.lit(8.0), i).cast("bigint")  # a shift by an expression
 
-    return F.struct(hi.alias("hi"), lo.alias("lo"), F.when(delta == 0, long(0)).otherwise(total(F.transform(values, one))).alias("selectors"))
+    return F.when(delta == 0, long(0)).otherwise(total(F.transform(f"{n}v", one)))
 
 
 def eac(rows: DataFrame, values: Column, keep: tuple[str, ...]) -> DataFrame:

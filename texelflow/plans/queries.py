@@ -96,14 +96,13 @@ def _bc4_sql(c: str) -> str:
 @query(f"WITH {PX} {_bc4_sql('r')}")
 def bc4_block(spark, sf):
     """Aggregates A1 and A13: a block's end points and packed selectors."""
-    return B.blocks(images(spark, sf), 8, 8).select("vec_id", "block_x", "block_y", B.bc4(B.channel("r")).alias("c")).select("vec_id", "block_x", "block_y", "c.*")
+    return B.bc4(B.blocks(images(spark, sf), 8, 8), {"": B.channel("r")}, ("vec_id", "block_x", "block_y"))
 
 
 @query(f"WITH {PX}, q AS ({_bc4_sql('r')}), z AS ({_bc4_sql('a')}) SELECT vec_id, block_x, block_y, q.hi AS r_hi, q.lo AS r_lo, q.selectors AS r_selectors, z.hi AS a_hi, z.lo AS a_lo, z.selectors AS a_selectors FROM q JOIN z USING (vec_id, block_x, block_y)")
 def bc5_block(spark, sf):
     """Join J6: red and alpha blocks side by side."""
-    rows = B.blocks(images(spark, sf), 8, 8).select("vec_id", "block_x", "block_y", B.bc4(B.channel("r")).alias("q"), B.bc4(B.channel("a")).alias("z"))
-    return rows.select("vec_id", "block_x", "block_y", *[F.col(f"{s}.{k}").alias(f"{n}_{k}") for s, n in (("q", "r"), ("z", "a")) for k in ("hi", "lo", "selectors")])
+    return B.bc4(B.blocks(images(spark, sf), 8, 8), {"r_": B.channel("r"), "a_": B.channel("a")}, ("vec_id", "block_x", "block_y"))
 
 
 def _eac_sql() -> str:
