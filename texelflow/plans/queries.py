@@ -378,3 +378,45 @@ def slice_totals(spark, sf):
     """Aggregate A9."""
     rows = table(spark, sf, "events").select(F.col("user_id").alias("image"), (F.col("event_id") % 9).alias("level"), (16 * (1 + F.col("event_id") % 5)).alias("bytes"))
     return rows.groupBy("image").agg(F.max("level").alias("top"), F.count("*").alias("slices"), F.sum("bytes").alias("bytes"))
+
+
+def _le(x, size: int):
+    """Hex of a number's bytes, lowest first."""
+    return F.concat(*[F.lpad(F.hex(F.shiftright(x.cast("bigint"), 8 * k).bitwiseAND(255)), 2, "0") for k in range(size)])
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey * 131 % 17000 AS width, 1 + p_partkey * 7 % 900 AS height, CASE WHEN p_partkey % 17 = 0 THEN 1 ELSE 0 END AS depth, p_partkey % 7 AS faces, p_partkey % 19 AS levels, p_partkey * 5 % 7 AS scheme FROM part)
+SELECT k AS p_partkey, width, height, levels, CASE scheme WHEN 0 THEN 'NONE' WHEN 1 THEN 'BASISLZ' WHEN 2 THEN 'ZSTANDARD' WHEN 3 THEN 'DEFLATE' WHEN 4 THEN 'UASTC_HDR_6X6I' WHEN 5 THEN 'XUASTC_LDR' END AS scheme, faces AS images,
+CASE WHEN width = 0 THEN 'invalid size' WHEN width > 16384 THEN 'size above the limit' WHEN depth <> 0 THEN 'only two dimensions are supported' WHEN faces < 1 THEN 'invalid face count' WHEN levels = 0 THEN 'no mip levels' WHEN levels > 16 THEN 'too many mip levels' WHEN scheme > 5 THEN 'unknown supercompression' END AS error FROM p""")
+def ktx2_headers(spark, sf):
+    """Sources S4, S6 and filter F1: headers written as bytes, parsed and judged."""
+    from ..sources import ktx2
+
+    k = F.col("p_partkey")
+    zero = F.lit(0)
+    levels = k % 19
+    words = (F.lit(37), F.lit(1), k * 131 % 17000, 1 + k * 7 % 900, F.when(k % 17 == 0, 1).otherwise(0), zero, k % 7, levels, k * 5 % 7, zero, zero, zero, zero, zero, zero, zero, zero)
+    content = F.unhex(F.concat(F.lit(ktx2.IDENTIFIER), *[_le(w, 4) for w in words], F.repeat(F.lit("00"), (levels * 24).cast("int"))))
+    files = table(spark, sf, "part").select(k.cast("string").alias("path"), content.alias("content"))
+    return ktx2.headers(files).select(F.col("path").cast("bigint").alias("p_partkey"), "width", "height", "levels", "scheme", "images", "error")
+
+
+@query("SELECT event_id, event_id % 256 AS r, event_id * 3 % 256 AS g, user_id % 256 AS b, (event_id + user_id) % 256 AS a, 16 AS texels FROM events")
+def uastc_solid_blocks(spark, sf):
+    """Codec B10: solid blocks written as 37 bits and decoded, all of a batch at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ..codecs import uastc
+
+    e, u = F.col("event_id"), F.col("user_id")
+    word = F.lit(23) + F.shiftleft(e % 256, 5) + F.shiftleft(e * 3 % 256, 13) + F.shiftleft(u % 256, 21) + F.shiftleft((e + u) % 256, 29)
+    rows = table(spark, sf, "events").select("event_id", F.unhex(F.concat(_le(word, 5), F.lit("00" * 11))).alias("block"))
+
+    def run(batches):
+        for batch in batches:
+            t = uastc.texels(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 16)) if batch.num_rows else np.zeros((0, 16, 4), np.uint8)
+            same = (t == t[:, :1]).all(2).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(t[:, 0, c].astype(np.int64)) for c in range(4)), pa.array(same.astype(np.int32))], ["event_id", "r", "g", "b", "a", "texels"])
+
+    return rows.mapInArrow(run, "event_id bigint, r bigint, g bigint, b bigint, a bigint, texels int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ktx2 import kind, little_endian
+from .ktx2 import kind, little_endian, settled
 
 #: name, offset, bytes
 HEADER_FIELDS = (("version", 2, 2), ("header_size", 4, 2), ("data_size", 8, 4), ("slices", 14, 3), ("images", 17, 3), ("format_code", 20, 1), ("flags", 21, 2), ("type_code", 23, 1), ("us_per_frame", 24, 3), ("endpoints", 39, 2), ("endpoint_offset", 41, 4), ("endpoint_size", 45, 3), ("selectors", 48, 2), ("selector_offset", 50, 4), ("selector_size", 54, 3), ("tables_offset", 57, 4), ("tables_size", 61, 4), ("slice_offset", 65, 4), ("extended_offset", 69, 4), ("extended_size", 73, 4))
@@ -16,7 +16,7 @@ TEXTURE_TYPES = ("2D", "2D_ARRAY", "CUBEMAP", "VIDEO", "VOLUME")
 
 def headers(files: DataFrame) -> DataFrame:
     """path, content, header fields, error. Fields are little-endian after the two bytes `sB`."""
-    rows = files.withColumns({n: little_endian(F.col("content"), at, size) for n, at, size in HEADER_FIELDS})
+    rows = settled(files, {n: little_endian(F.col("content"), at, size) for n, at, size in HEADER_FIELDS})
     fault = (
         F.when(F.length("content") < HEADER, "too short for a header")
         .when(F.coalesce(kind(F.col("content")) != "basis", F.lit(True)), "not a .basis file")
@@ -31,6 +31,6 @@ def slices(rows: DataFrame) -> DataFrame:
     """path, slice, descriptor fields, is_alpha, is_iframe, error of each slice of sound headers."""
     each = rows.filter("error is null").select("path", "content", "slice_offset", "images", F.explode(F.sequence(F.lit(0), (F.col("slices") - 1).cast("int"))).alias("slice"))
     at = F.col("slice_offset") + F.col("slice") * SLICE
-    out = each.withColumns({n: little_endian(F.col("content"), at + k, size) for n, k, size in SLICE_FIELDS})
+    out = settled(each, {n: little_endian(F.col("content"), at + k, size) for n, k, size in SLICE_FIELDS})
     fault = F.when(F.col("image") >= F.col("images"), "image index out of range").when(F.col("byte_offset") + F.col("byte_length") > F.length("content"), "slice past the end")
     return out.select("path", "slice", *[n for n, _, _ in SLICE_FIELDS], (F.col("flags").bitwiseAND(1) != 0).alias("is_alpha"), (F.col("flags").bitwiseAND(2) != 0).alias("is_iframe"), fault.alias("error"))

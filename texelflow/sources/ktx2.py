@@ -29,6 +29,13 @@ def little_endian(content: Column, offset: Column | int, size: int) -> Column:
     return F.when(F.length(hexed) == 2 * size, F.when(number <= 2**63 - 1, number.cast("bigint")))
 
 
+def settled(rows: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """rows with the fields. They pass a generator, so that later filters and expressions refer to their values and
+    the optimizer doesn't repeat how to parse them."""
+    parsed = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in fields.items()])))
+    return rows.select(*rows.columns, parsed.alias("__parsed")).select(*rows.columns, "__parsed.*")
+
+
 def read(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """path, content of all files below path."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content")
@@ -42,7 +49,7 @@ def kind(content: Column) -> Column:
 def headers(files: DataFrame) -> DataFrame:
     """path, content, header fields, error."""
     names = ("vk_format", "type_size", "width", "height", "depth", "layers", "faces", "levels", "scheme_code", "dfd_offset", "dfd_length", "kvd_offset", "kvd_length")
-    rows = files.withColumns({n: little_endian(F.col("content"), 12 + 4 * k, 4) for k, n in enumerate(names)} | {"sgd_offset": little_endian(F.col("content"), 64, 8), "sgd_length": little_endian(F.col("content"), 72, 8)})
+    rows = settled(files, {n: little_endian(F.col("content"), 12 + 4 * k, 4) for k, n in enumerate(names)} | {"sgd_offset": little_endian(F.col("content"), 64, 8), "sgd_length": little_endian(F.col("content"), 72, 8)})
     c = F.col
     past = lambda a, b: (c(b) > 0) & ((c(a) + c(b)) > F.length("content"))
     fault = (
@@ -64,7 +71,7 @@ def headers(files: DataFrame) -> DataFrame:
     )
     scheme = F.get(F.array(*[F.lit(s) for s in SCHEMES]), F.when(c("scheme_code") < len(SCHEMES), c("scheme_code").cast("int")))
     images = F.greatest(c("layers"), F.lit(1)) * c("faces")
-    return rows.withColumns({"scheme": scheme, "images": images, "error": fault})
+    return settled(rows, {"scheme": scheme, "images": images, "error": fault})
 
 
 def descriptors(rows: DataFrame) -> DataFrame:
@@ -73,7 +80,7 @@ def descriptors(rows: DataFrame) -> DataFrame:
     word, size = little_endian(F.col("content"), at + 12, 4), little_endian(F.col("content"), at + 16, 4)
     there = (F.col("dfd_length") > 0) & F.col("error").isNull()
     field = lambda w, shift, n: F.when(there, F.shiftright(w, shift).bitwiseAND(n))
-    rows = rows.withColumns({"model": field(word, 0, 255), "primaries": field(word, 8, 255), "transfer": field(word, 16, 255), "block_width": field(size, 0, 255) + 1, "block_height": field(size, 8, 255) + 1})
+    rows = settled(rows, {"model": field(word, 0, 255), "primaries": field(word, 8, 255), "transfer": field(word, 16, 255), "block_width": field(size, 0, 255) + 1, "block_height": field(size, 8, 255) + 1})
     size_name = F.concat_ws("x", F.col("block_width").cast("string"), F.col("block_height").cast("string"))
     out = F.lit(None).cast("string")
     for code, name in MODELS.items():
@@ -81,8 +88,9 @@ def descriptors(rows: DataFrame) -> DataFrame:
     out = F.when(F.col("model") == 169, F.concat(F.lit("XUASTC_LDR_"), size_name)).otherwise(out)
     out = F.when((F.col("model") == 162) & (F.col("vk_format") == 1000066004) & (size_name == "6x6"), "ASTC_HDR_6x6").otherwise(out)
     out = F.when((F.col("model") == 162) & F.col("vk_format").between(157, 184), F.concat(F.lit("ASTC_LDR_"), size_name)).otherwise(out)
-    fault = F.when(there & out.isNull(), "unknown colour model")
-    return rows.withColumns({"texture_format": out, "error": F.coalesce("error", fault)})
+    rows = settled(rows, {"texture_format": out})
+    fault = F.when((F.col("dfd_length") > 0) & F.col("texture_format").isNull(), "unknown colour model")
+    return settled(rows.withColumnRenamed("error", "__fault"), {"error": F.coalesce("__fault", fault)}).drop("__fault")
 
 
 def levels(rows: DataFrame) -> DataFrame:
