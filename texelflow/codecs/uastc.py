@@ -103,7 +103,7 @@ def partition(seed: int, subsets: int) -> np.ndarray:
     return np.argmax(levels, axis=0)
 
 
-def _field(bits: np.ndarray, at: int, n: int) -> np.ndarray:
+def field(bits: np.ndarray, at: int, n: int) -> np.ndarray:
     return bits[:, at : at + n] @ (1 << np.arange(n)) if n else np.zeros(len(bits), np.int64)
 
 
@@ -117,68 +117,94 @@ def _endpoints(bits: np.ndarray, at: int, n: int, r: int) -> tuple[np.ndarray, i
         for k in range(0, n, bundle):
             own = min(bundle, n - k)
             size = TAILS[radix][own]
-            packed = _field(bits, at, size)
+            packed = field(bits, at, size)
             at += size
             for j in range(own):
                 out[:, k + j] = packed // radix**j % radix << low
     for k in range(n):
-        out[:, k] += _field(bits, at, low)
+        out[:, k] += field(bits, at, low)
         at += low
     return out, at
 
 
-def _decoded(bits: np.ndarray, m: Mode, k: int) -> np.ndarray:
-    """(blocks, 16, 4) texels of blocks of one mode and, if it has patterns, one pattern."""
-    at = m.size + m.hints
+@dataclass(frozen=True)
+class Fields:
+    """What blocks of one mode and pattern hold: codes (blocks, subsets, components, 2), weights (blocks, 16, planes)."""
+
+    mode: Mode
+    seed: int
+    subset: np.ndarray
+    second: np.ndarray  # component on the second plane
+    codes: np.ndarray
+    weights: np.ndarray
+
+
+def fields(bits: np.ndarray, k: int) -> Fields:
+    m = MODES[k]
+    at, seed = m.size + m.hints, 0
     subset = np.zeros(16, np.int64)
     if m.pattern_bits:
         seeds = SEEDS_7 if k == 7 else SEEDS_3 if m.subsets == 3 else SEEDS_2
-        pattern = int(_field(bits[:1], at, m.pattern_bits)[0])
+        pattern = int(field(bits[:1], at, m.pattern_bits)[0])
         if pattern >= len(seeds):
             raise ValueError("invalid UASTC pattern")
-        subset = partition(seeds[pattern], m.subsets)
+        seed = seeds[pattern]
+        subset = partition(seed, m.subsets)
         at += m.pattern_bits
-    second = np.full(len(bits), 3) if m.planes == 2 and not m.selector_bits else _field(bits, at, m.selector_bits)
+    second = np.full(len(bits), 3) if m.planes == 2 and not m.selector_bits else field(bits, at, m.selector_bits)
     at += m.selector_bits
     codes, at = _endpoints(bits, at, m.components * 2 * m.subsets, m.endpoint_range)
-    ends = endpoint_table(m.endpoint_range)[codes].reshape(len(bits), m.subsets, m.components, 2)
-    # blue contraction never applies: its swap of end points and of weights cancels out
-    full = np.full((len(bits), m.subsets, 4, 2), 255)
-    if m.components == 2:
-        full[:, :, :3], full[:, :, 3] = ends[:, :, :1], ends[:, :, 1]
-    else:
-        full[:, :, : m.components] = ends
     anchors = {int(np.argmax(subset == s)) for s in range(m.subsets)}
     weights = np.zeros((len(bits), 16, m.planes), np.int64)
     for t in range(16):
         for p in range(m.planes):
             size = m.weight_bits - (t in anchors)
-            weights[:, t, p] = _field(bits, at, size)
+            weights[:, t, p] = field(bits, at, size)
             at += size
-    weights = weight_table(m.weight_bits)[weights]
+    return Fields(m, seed, subset, second, codes.reshape(len(bits), m.subsets, m.components, 2), weights)
+
+
+def _decoded(bits: np.ndarray, k: int) -> np.ndarray:
+    """(blocks, 16, 4) texels of blocks of one mode and, if it has patterns, one pattern."""
+    f = fields(bits, k)
+    m = f.mode
+    ends = endpoint_table(m.endpoint_range)[f.codes]
+    # blue contraction never applies: its swap of end points and of weights cancels out
+    full = np.full((len(bits), m.subsets, 4, 2), 255)
+    if m.components == 2:
+        full[:, :, :3], full[:, :, 3] = ends[:, :, :1], ends[:, :, 1]
+    else:
+        full[:, :, : m.components] = ends
+    weights = weight_table(m.weight_bits)[f.weights]
     own = np.repeat(weights[:, :, :1], 4, axis=2)
     if m.planes == 2:
-        own = np.where(np.arange(4)[None, None] == second[:, None, None], weights[:, :, 1:], own)
-    lo, hi = full[..., 0][:, subset] * 257, full[..., 1][:, subset] * 257
+        own = np.where(np.arange(4)[None, None] == f.second[:, None, None], weights[:, :, 1:], own)
+    lo, hi = full[..., 0][:, f.subset] * 257, full[..., 1][:, f.subset] * 257
     return ((lo * (64 - own) + hi * own + 32) >> 14).astype(np.uint8)
 
 
-def texels(blocks: np.ndarray) -> np.ndarray:
-    """(n, 16, 4) RGBA of blocks (n, 16), texels row by row."""
+def grouped(blocks: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(mode, places, bits) of blocks (n, 16) that share mode and pattern."""
     bits = np.unpackbits(blocks, axis=1, bitorder="little").astype(np.int64)
     modes = mode_of()[blocks[:, 0] & 127]
-    out = np.zeros((len(blocks), 16, 4), np.uint8)
     for k in np.unique(modes):
         if k == len(MODES):
             raise ValueError("reserved UASTC mode")
         m, here = MODES[k], np.flatnonzero(modes == k)
-        if k == SOLID:
-            out[here] = np.stack([_field(bits[here], m.size + 8 * c, 8) for c in range(4)], axis=1)[:, None]
-            continue
-        pattern = _field(bits[here], m.size + m.hints, m.pattern_bits)
+        pattern = field(bits[here], m.size + m.hints, m.pattern_bits)
         for p in np.unique(pattern):
             own = here[pattern == p]
-            out[own] = _decoded(bits[own], m, int(k))
+            yield int(k), own, bits[own]
+
+
+def texels(blocks: np.ndarray) -> np.ndarray:
+    """(n, 16, 4) RGBA of blocks (n, 16), texels row by row."""
+    out = np.zeros((len(blocks), 16, 4), np.uint8)
+    for k, here, bits in grouped(blocks):
+        if k == SOLID:
+            out[here] = np.stack([field(bits, MODES[k].size + 8 * c, 8) for c in range(4)], axis=1)[:, None]
+        else:
+            out[here] = _decoded(bits, k)
     return out
 
 
