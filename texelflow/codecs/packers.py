@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from ..operators.blocks import BC4_SELECTORS, EAC_TABLES, NARROW
+from . import bc, etc1
 
 
 def scale8(v: np.ndarray, most: int) -> np.ndarray:
@@ -77,7 +78,28 @@ def eac(v: np.ndarray) -> np.ndarray:
     return out
 
 
-PACKED = ("RGBA8", "RGB565", "BGR565", "RGBA4444", "BC4", "BC5", "ETC2_EAC_R11", "ETC2_EAC_RG11")
+PACKED = ("RGBA8", "RGB565", "BGR565", "RGBA4444", "BC1", "BC3", "BC4", "BC5", "BC7", "ETC1", "ETC2", "ETC2_NO_ALPHA", "ETC2_EAC_R11", "ETC2_EAC_RG11")
+#: Blocks packed at a time; bounds the searches' arrays.
+CHUNK = 4096
+
+
+def _block_bytes(texels: np.ndarray, target: str) -> np.ndarray:
+    """(n, 8 or 16) bytes of texels (n, 16, 4)."""
+    rgb, red, alpha = texels[..., :3], texels[..., 0], texels[..., 3]
+    if target == "BC7":
+        return bc.bc7(texels)
+    parts = {
+        "BC1": lambda: [bc.bc1(rgb)],
+        "BC3": lambda: [bc4(alpha), bc.bc1(rgb)],
+        "BC4": lambda: [bc4(red)],
+        "BC5": lambda: [bc4(red), bc4(alpha)],
+        "ETC1": lambda: [etc1.pack(rgb)],
+        "ETC2_NO_ALPHA": lambda: [etc1.pack(rgb)],  # each ETC1 block means the same as an ETC2 one
+        "ETC2": lambda: [eac(alpha), etc1.pack(rgb)],
+        "ETC2_EAC_R11": lambda: [eac(red)],
+        "ETC2_EAC_RG11": lambda: [eac(red), eac(alpha)],
+    }[target]()
+    return np.concatenate(parts, axis=1)
 
 
 def pack(rgba: np.ndarray, target: str) -> bytes:
@@ -85,6 +107,5 @@ def pack(rgba: np.ndarray, target: str) -> bytes:
         return rgba.tobytes()
     if target.endswith("565") or target == "RGBA4444":
         return pack16(rgba, target)
-    one = bc4 if target.startswith("BC") else eac
-    parts = [one(blocks(rgba[..., c])) for c in ((0, 3) if target in ("BC5", "ETC2_EAC_RG11") else (0,))]  # red and alpha
-    return np.concatenate(parts, axis=1).tobytes()
+    texels = np.stack([blocks(rgba[..., c]) for c in range(4)], axis=2)
+    return b"".join(_block_bytes(texels[k : k + CHUNK], target).tobytes() for k in range(0, len(texels), CHUNK))
