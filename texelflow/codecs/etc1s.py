@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.pixels import ETC1_MODIFIERS
+from . import etc1, packers
 from .bits import Bits, Huffman, MoveToFront
 
 REPEAT, REPEAT_LEAST, REPEAT_BITS = 256, 3, 4
@@ -135,6 +136,21 @@ def blocks(data: bytes, book: Codebook, nx: int, ny: int, before: tuple[np.ndarr
     return e, s
 
 
+def finished(colour: tuple[np.ndarray, np.ndarray], alpha: tuple[np.ndarray, np.ndarray] | None, book: Codebook, width: int, height: int, target: str) -> bytes:
+    """A slice, and its alpha slice if there is one, in the target format. ETC1 blocks keep palette entries as they are."""
+    ny, nx = colour[0].shape
+    etc = target in ("ETC1", "ETC2", "ETC2_NO_ALPHA")
+    own = etc1.of_palette(book.endpoints[colour[0]].reshape(-1, 4), book.selectors[colour[1]].reshape(-1, 16)) if etc else None
+    if etc and target != "ETC2":
+        return own.tobytes()
+    whole = colours(*colour, book, nx * 4, ny * 4)
+    if alpha is not None:  # alpha is the red of its own slice
+        whole[..., 3] = colours(*alpha, book, nx * 4, ny * 4)[..., 0]
+    if etc:
+        return np.concatenate([packers.eac(packers.blocks(whole[..., 3])), own], axis=1).tobytes()
+    return packers.finish(whole, width, height, target)
+
+
 def colours(e: np.ndarray, s: np.ndarray, book: Codebook, width: int, height: int) -> np.ndarray:
     """RGBA bytes (height, width, 4) by palette lookup, cropped to the image."""
     ends = book.endpoints[e]
@@ -147,8 +163,8 @@ def colours(e: np.ndarray, s: np.ndarray, book: Codebook, width: int, height: in
     return out[:height, :width]
 
 
-def images(content: bytes, header: dict) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(image, level, width, height, RGBA) of a KTX2 container with this colour model."""
+def images(content: bytes, header: dict, target: str = "RGBA8") -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(image, level, width, height, payload) of a KTX2 container with this colour model."""
     at = header["sgd_offset"]
     word = lambda p, n: int.from_bytes(content[p : p + n], "little")
     n_end, n_sel = word(at, 2), word(at + 2, 2)
@@ -166,10 +182,9 @@ def images(content: bytes, header: dict) -> Iterator[tuple[int, int, int, int, b
             d = at + 20 + 20 * (level * header["images"] + image)
             _, rgb, rgb_n, alpha, alpha_n = (word(d + 4 * k, 4) for k in range(5))
             nx, ny = -(-w // 4), -(-h // 4)
-            out = colours(*blocks(content[start + rgb :][:rgb_n], book, nx, ny), book, w, h)
-            if alpha_n:  # alpha is the red of its own slice
-                out[..., 3] = colours(*blocks(content[start + alpha :][:alpha_n], book, nx, ny), book, w, h)[..., 0]
-            yield image, level, w, h, out.tobytes()
+            colour = blocks(content[start + rgb :][:rgb_n], book, nx, ny)
+            opacity = blocks(content[start + alpha :][:alpha_n], book, nx, ny) if alpha_n else None
+            yield image, level, w, h, finished(colour, opacity, book, w, h, target)
 
 
 def decoded(rows: DataFrame) -> DataFrame:

@@ -109,3 +109,9 @@ def pack(rgba: np.ndarray, target: str) -> bytes:
         return pack16(rgba, target)
     texels = np.stack([blocks(rgba[..., c]) for c in range(4)], axis=2)
     return b"".join(_block_bytes(texels[k : k + CHUNK], target).tobytes() for k in range(0, len(texels), CHUNK))
+
+
+def finish(whole: np.ndarray, width: int, height: int, target: str) -> bytes:
+    """A decoded image of whole blocks in the target format: pixels are cropped to the size, blocks are not."""
+    cropped = target == "RGBA8" or target.endswith("565") or target == "RGBA4444"
+    return pack(np.ascontiguousarray(whole[:height, :width]) if cropped else whole, target)

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import packers
+
 
 @dataclass(frozen=True)
 class Mode:
@@ -208,40 +210,46 @@ def texels(blocks: np.ndarray) -> np.ndarray:
     return out
 
 
-def image(data: bytes, width: int, height: int) -> np.ndarray:
-    """RGBA (height, width, 4)."""
+def image(data: bytes, width: int, height: int, target: str = "RGBA8") -> bytes:
     nx, ny = -(-width // 4), -(-height // 4)
     if len(data) != nx * ny * 16:
         raise ValueError("UASTC block data size mismatch")
-    t = texels(np.frombuffer(data, np.uint8).reshape(-1, 16))
-    return t.reshape(ny, nx, 4, 4, 4).transpose(0, 2, 1, 3, 4).reshape(ny * 4, nx * 4, 4)[:height, :width]
+    source = np.frombuffer(data, np.uint8).reshape(-1, 16)
+    if target == "ASTC_LDR_4X4":
+        from . import astc
 
+        return astc.pack(source).tobytes()
+    whole = texels(source).reshape(ny, nx, 4, 4, 4).transpose(0, 2, 1, 3, 4).reshape(ny * 4, nx * 4, 4)
+    return packers.finish(whole, width, height, target)
 
-def decoded(rows: DataFrame) -> DataFrame:
-    """path, image, level, width, height, rgba, error of descriptors() rows of this format (KTX2)."""
+
+def images(content: bytes, r: dict, target: str = "RGBA8") -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(image, level, width, height, payload) of a KTX2 container with this colour model."""
     from ..sources.ktx2 import unpacked
 
-    wanted = rows.filter("error is null and texture_format = 'UASTC_LDR_4x4'").select("path", "content", "scheme", "images", "levels", "width", "height")
+    for level in range(r["levels"]):
+        at, n, full = (int.from_bytes(content[80 + 24 * level + 8 * j :][:8], "little") for j in range(3))
+        if at + n > len(content):
+            raise ValueError("level past the end")
+        data = unpacked(r["scheme"], content[at : at + n], full)
+        w, h = max(1, r["width"] >> level), max(1, r["height"] >> level)
+        size = -(-w // 4) * -(-h // 4) * 16
+        if len(data) != size * r["images"]:
+            raise ValueError("UASTC block data size mismatch")
+        for k in range(r["images"]):
+            yield k, level, w, h, image(data[k * size : (k + 1) * size], w, h, target)
 
-    def each(r: dict) -> Iterator[tuple]:
-        for level in range(r["levels"]):
-            at, n, full = (int.from_bytes(r["content"][80 + 24 * level + 8 * j :][:8], "little") for j in range(3))
-            if at + n > len(r["content"]):
-                raise ValueError("level past the end")
-            data = unpacked(r["scheme"], r["content"][at : at + n], full)
-            w, h = max(1, r["width"] >> level), max(1, r["height"] >> level)
-            size = -(-w // 4) * -(-h // 4) * 16
-            if len(data) != size * r["images"]:
-                raise ValueError("UASTC block data size mismatch")
-            for k in range(r["images"]):
-                yield k, level, w, h, image(data[k * size : (k + 1) * size], w, h).tobytes()
+
+def decoded(rows: DataFrame) -> DataFrame:
+    """path, image, level, width, height, rgba, error of descriptors() rows of this format (KTX2)."""
+    wanted = rows.filter("error is null and texture_format = 'UASTC_LDR_4x4'").select("path", "content", "scheme", "images", "levels", "width", "height")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
         for batch in batches:
             for r in batch.to_pylist():
                 try:
-                    out = [(r["path"], *x, None) for x in each(r)]
+                    out = [(r["path"], *x, None) for x in images(r["content"], r)]
                 except ValueError as e:
                     out = [(r["path"], None, None, None, None, None, str(e))]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["path", "image", "level", "width", "height", "rgba", "error"])

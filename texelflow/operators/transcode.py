@@ -1,48 +1,73 @@
-"""Containers to images of a target format: dispatch by format, decode once per slice, pack per target."""
+"""Containers to images of a target format: one pass over the files, dispatch by format, no shuffle."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..codecs import etc1s, packers, uastc
 from ..plans import catalog
-from ..sources import ktx2
+from ..sources import basis, ktx2
 
 OUT = "path string, image int, level int, width int, height int, target string, payload binary, error string"
+NAMES = ("path", "image", "level", "width", "height", "target", "payload", "error")
+KINDS = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string())
+#: What a reader of malformed streams may raise.
+FAULTS = (ValueError, IndexError, StopIteration, RuntimeError, ZeroDivisionError, OverflowError)
+
+
+def _way(source: str | None, target: str) -> None:
+    made = (*packers.PACKED, "ASTC_LDR_4X4") if source == "UASTC_LDR_4x4" else packers.PACKED
+    if source not in basis.FORMATS or target not in catalog.targets(source) or target not in made:
+        raise ValueError(f"no way to {target} from {source or 'plain texels'}")
+
+
+def images(r: dict, target: str, image: int | None) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(image, level, width, height, payload) of a descriptors() row; a fault is an exception."""
+    content = bytes(r["content"] or b"")
+    if content[:2] == b"sB":
+        _way(basis.texture_format(content) or "an unsupported .basis format", target)
+        yield from basis.images(content, target, image)
+        return
+    if r["error"]:
+        raise ValueError(r["error"])
+    if r["texture_format"] is None and target == "RGBA8":
+        _, _, payload, fault = ktx2.plain(r | {"content": content}, image or 0)  # all levels in order, as stored
+        if fault:
+            raise ValueError(fault)
+        yield image or 0, 0, r["width"], r["height"], payload
+        return
+    _way(r["texture_format"], target)
+    if image is not None and not 0 <= image < r["images"]:
+        raise ValueError("image index out of range")
+    source = etc1s if r["texture_format"] == "ETC1S" else uastc
+    for found in source.images(content, r, target):
+        if image in (None, found[0]):
+            yield found
 
 
 def transcode(files: DataFrame, target: str, image: int | None = None) -> DataFrame:
-    """OUT rows: each image and level of KTX2 files (path, content) in the target format. A container that can't be
-    read, has another kind of source, or has no way to the target, gives one row with the fault."""
+    """OUT rows: each image and level of KTX2 and .basis files (path, content) in the target format.
+
+    A container that can't be read, has another kind of source, or has no way to the target, gives a row with the
+    fault; images read before it stay. One image is held at a time."""
     if target not in catalog.TARGETS:
         raise ValueError(f"unknown target {target}")
-    rows = ktx2.descriptors(ktx2.headers(files))
-    plain = rows.filter("error is null and texture_format is null")
-    able = F.lit(False)
-    for name in ("ETC1S", "UASTC_LDR_4x4"):
-        if target in catalog.targets(name) and target in packers.PACKED:
-            able = able | (F.col("texture_format") == name)
-    fault = F.when(~able, F.concat(F.lit(f"no way to {target} from "), "texture_format"))
-    marked = rows.filter("error is not null or texture_format is not null")
-    marked = ktx2.settled(marked.withColumnRenamed("error", "__fault"), {"error": F.coalesce("__fault", fault)}).drop("__fault")
-    images = etc1s.decoded(marked).unionByName(uastc.decoded(marked))
-    if image is not None:
-        images = images.filter((F.col("image") == image) | F.col("error").isNotNull())
+    rows = ktx2.descriptors(ktx2.headers(files)).select("path", "content", "vk_format", "scheme", "images", "width", "height", "levels", "sgd_offset", "texture_format", "error")
+
+    def batch_of(*row: object) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, KINDS, strict=True)], list(NAMES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [None if r["error"] else packers.pack(np.frombuffer(r["rgba"], np.uint8).reshape(r["height"], r["width"], 4), target) for r in batch.to_pylist()]
-            cols = [batch.column(n) for n in ("path", "image", "level", "width", "height")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([target] * batch.num_rows, pa.string()), pa.array(out, pa.binary()), batch.column("error")], ["path", "image", "level", "width", "height", "target", "payload", "error"])
-
-    empty = lambda df, e: df.select("path", *[F.lit(None).cast("int").alias(c) for c in ("image", "level", "width", "height")], F.lit(target).alias("target"), F.lit(None).cast("binary").alias("payload"), e.alias("error"))
-    done = images.mapInArrow(run, OUT).unionByName(empty(marked.filter("error is not null"), F.col("error")))
-    if target != "RGBA8":
-        return done.unionByName(empty(plain, F.lit(f"no way to {target} from plain texels")))
-    whole = ktx2.pass_through(plain, image or 0)  # all levels in order, as stored
-    return done.unionByName(whole.select("path", F.lit(image or 0).alias("image"), F.lit(0).alias("level"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), F.lit(target).alias("target"), "payload", "error"))
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                try:
+                    for *place, payload in images(r, target, image):
+                        yield batch_of(r["path"], *place, target, payload, None)
+                except FAULTS as e:
+                    yield batch_of(r["path"], None, None, None, None, target, None, str(e) or "malformed")
+
+    return rows.mapInArrow(run, OUT)

@@ -145,6 +145,34 @@ def unpacked(scheme: str, data: bytes, expected: int) -> bytes:
     raise ValueError(f"unsupported level supercompression {scheme}")
 
 
+def plain(r: dict, image: int) -> tuple:
+    """(colour space, level sizes, payload, error) of a descriptors() row."""
+    if r["error"]:
+        return (None, None, None, r["error"])
+    if r["texture_format"] or r["vk_format"] not in PLAIN:
+        return (None, None, None, "not a plain RGBA payload")
+    if not 0 <= image < r["images"]:
+        return (None, None, None, "image index out of range")
+    ranges, parts = [], []
+    try:
+        for k in range(r["levels"]):
+            at, n, full = (int.from_bytes(r["content"][HEADER + 24 * k + 8 * j :][:8], "little") for j in range(3))
+            if at + n > len(r["content"]):
+                raise ValueError("level past the end")
+            ranges.append((at, at + n))
+            data = unpacked(r["scheme"], r["content"][at : at + n], full)
+            if len(data) % r["images"]:
+                raise ValueError("level cannot be divided into images")
+            size = len(data) // r["images"]
+            parts.append(data[image * size : (image + 1) * size])
+        ranges.sort()
+        if any(a[1] > b[0] for a, b in zip(ranges, ranges[1:], strict=False)):
+            raise ValueError("levels overlap")
+    except Exception as e:  # any fault of a container's bytes belongs to its row
+        return (None, None, None, str(e))
+    return ("sRGB" if PLAIN[r["vk_format"]] == "SRGB" else "Linear", [len(p) for p in parts], b"".join(parts), None)
+
+
 def pass_through(rows: DataFrame, image: int = 0) -> DataFrame:
     """path, width, height, colour_space, level sizes, payload (all levels in order), error of plain RGBA files.
 
@@ -152,35 +180,9 @@ def pass_through(rows: DataFrame, image: int = 0) -> DataFrame:
     aren't swizzled."""
     wanted = rows.select("path", "content", "vk_format", "scheme", "images", "width", "height", "levels", "texture_format", "error")
 
-    def one(r: dict) -> tuple:
-        if r["error"]:
-            return (None, None, None, r["error"])
-        if r["texture_format"] or r["vk_format"] not in PLAIN:
-            return (None, None, None, "not a plain RGBA payload")
-        if not 0 <= image < r["images"]:
-            return (None, None, None, "image index out of range")
-        ranges, parts = [], []
-        try:
-            for k in range(r["levels"]):
-                at, n, full = (int.from_bytes(r["content"][HEADER + 24 * k + 8 * j :][:8], "little") for j in range(3))
-                if at + n > len(r["content"]):
-                    raise ValueError("level past the end")
-                ranges.append((at, at + n))
-                data = unpacked(r["scheme"], r["content"][at : at + n], full)
-                if len(data) % r["images"]:
-                    raise ValueError("level cannot be divided into images")
-                size = len(data) // r["images"]
-                parts.append(data[image * size : (image + 1) * size])
-            ranges.sort()
-            if any(a[1] > b[0] for a, b in zip(ranges, ranges[1:], strict=False)):
-                raise ValueError("levels overlap")
-        except Exception as e:  # any fault of a container's bytes belongs to its row
-            return (None, None, None, str(e))
-        return ("sRGB" if PLAIN[r["vk_format"]] == "SRGB" else "Linear", [len(p) for p in parts], b"".join(parts), None)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [one(r) for r in batch.to_pylist()]
+            got = [plain(r, image) for r in batch.to_pylist()]
             cols = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.list_(pa.int64()), pa.binary(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("width"), batch.column("height"), *cols], ["path", "width", "height", "colour_space", "sizes", "payload", "error"])
 
