@@ -37,3 +37,14 @@ def test_packers_equal_the_expressions(spark):
     for k, (one, two) in enumerate(zip(packers.bc4(v), packers.eac(v), strict=True)):
         assert bytes(one) == bytes([bc4[k]["hi"], bc4[k]["lo"]]) + bc4[k]["selectors"].to_bytes(6, "little")
         assert bytes(two) == bytes([eac[k]["base"], eac[k]["code"]]) + eac[k]["selectors"].to_bytes(6, "big")
+
+
+def test_hdr_blocks_pass(spark):
+    dfd = struct.pack("<3I", 44, 0, 0) + struct.pack("<2I", 167 | 1 << 8 | 1 << 16, 3 | 3 << 8) + bytes(24)
+    data = bytes(range(64))
+    files = {"good": container([data, data[:16]], 0, 0, 8, 5, dfd=dfd), "short": container([data[:48]], 0, 0, 8, 5, dfd=dfd)}
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "path string, content binary")
+    rows = transcode(df, "ASTC_HDR_4X4").collect()
+    assert [(r["level"], bytes(r["payload"])) for r in rows if r["path"] == "good"] == [(0, data), (1, data[:16])]
+    assert [r["error"] for r in rows if r["path"] == "short"] == ["UASTC block data size mismatch"]
+    assert {r["error"] for r in transcode(df, "ASTC_HDR_6X6").collect()} == {"no way to ASTC_HDR_6X6 from UASTC_HDR_4x4"}

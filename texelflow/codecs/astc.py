@@ -1,9 +1,10 @@
-"""ASTC LDR 4x4 blocks of UASTC ones. Both hold the same fields; here they are laid out anew, with no loss, for all
-blocks of a mode and pattern at once."""
+"""ASTC blocks: LDR 4x4 ones of UASTC, and HDR ones as stored. UASTC and ASTC hold the same fields; LDR ones are
+laid out anew, with no loss, for all blocks of a mode and pattern at once."""
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -117,3 +118,25 @@ def pack(blocks: np.ndarray) -> np.ndarray:
         else:
             out[here] = np.packbits(_laid_out(bits, k).astype(np.uint8), axis=1, bitorder="little")
     return out
+
+
+#: HDR sources that are ASTC blocks already: block size and target.
+HDR = {"UASTC_HDR_4x4": ((4, 4), "ASTC_HDR_4X4"), "ASTC_HDR_6x6": ((6, 6), "ASTC_HDR_6X6")}
+
+
+def hdr_image(data: bytes, width: int, height: int, source: str, target: str) -> bytes:
+    """The blocks of an HDR image, which pass as they are."""
+    (w, h), own = HDR[source]
+    if target != own:
+        raise ValueError(f"no way to {target} from {source}")
+    if len(data) != -(-width // w) * -(-height // h) * 16:
+        raise ValueError("block data size mismatch")
+    return data
+
+
+def hdr_images(content: bytes, r: dict, target: str) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(image, level, width, height, payload) of a KTX2 container with HDR blocks."""
+    from ..sources.ktx2 import block_images
+
+    for k, level, w, h, data in block_images(content, r, HDR[r["texture_format"]][0]):
+        yield k, level, w, h, hdr_image(data, w, h, r["texture_format"], target)

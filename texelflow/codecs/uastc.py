@@ -225,24 +225,15 @@ def image(data: bytes, width: int, height: int, target: str = "RGBA8") -> bytes:
 
 def images(content: bytes, r: dict, target: str = "RGBA8") -> Iterator[tuple[int, int, int, int, bytes]]:
     """(image, level, width, height, payload) of a KTX2 container with this colour model."""
-    from ..sources.ktx2 import unpacked
+    from ..sources.ktx2 import block_images
 
-    for level in range(r["levels"]):
-        at, n, full = (int.from_bytes(content[80 + 24 * level + 8 * j :][:8], "little") for j in range(3))
-        if at + n > len(content):
-            raise ValueError("level past the end")
-        data = unpacked(r["scheme"], content[at : at + n], full)
-        w, h = max(1, r["width"] >> level), max(1, r["height"] >> level)
-        size = -(-w // 4) * -(-h // 4) * 16
-        if len(data) != size * r["images"]:
-            raise ValueError("UASTC block data size mismatch")
-        for k in range(r["images"]):
-            yield k, level, w, h, image(data[k * size : (k + 1) * size], w, h, target)
+    for k, level, w, h, data in block_images(content, r, (4, 4)):
+        yield k, level, w, h, image(data, w, h, target)
 
 
 def decoded(rows: DataFrame) -> DataFrame:
     """path, image, level, width, height, rgba, error of descriptors() rows of this format (KTX2)."""
-    wanted = rows.filter("error is null and texture_format = 'UASTC_LDR_4x4'").select("path", "content", "scheme", "images", "levels", "width", "height")
+    wanted = rows.filter("error is null and texture_format = 'UASTC_LDR_4x4'").select("path", "content", "scheme", "images", "levels", "width", "height", "texture_format")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())

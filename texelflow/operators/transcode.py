@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..codecs import etc1s, packers, uastc
+from ..codecs import astc, etc1s, packers, uastc
 from ..plans import catalog
 from ..sources import basis, ktx2
 
@@ -18,9 +18,13 @@ KINDS = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(
 FAULTS = (ValueError, IndexError, StopIteration, RuntimeError, ZeroDivisionError, OverflowError)
 
 
+#: Targets that have a way from each source.
+MADE = {"ETC1S": packers.PACKED, "UASTC_LDR_4x4": (*packers.PACKED, "ASTC_LDR_4X4")} | {name: (target,) for name, (_, target) in astc.HDR.items()}
+READERS = {"ETC1S": etc1s.images, "UASTC_LDR_4x4": uastc.images} | dict.fromkeys(astc.HDR, astc.hdr_images)
+
+
 def _way(source: str | None, target: str) -> None:
-    made = (*packers.PACKED, "ASTC_LDR_4X4") if source == "UASTC_LDR_4x4" else packers.PACKED
-    if source not in basis.FORMATS or target not in catalog.targets(source) or target not in made:
+    if target not in MADE.get(source, ()):
         raise ValueError(f"no way to {target} from {source or 'plain texels'}")
 
 
@@ -42,8 +46,7 @@ def images(r: dict, target: str, image: int | None) -> Iterator[tuple[int, int,
     _way(r["texture_format"], target)
     if image is not None and not 0 <= image < r["images"]:
         raise ValueError("image index out of range")
-    source = etc1s if r["texture_format"] == "ETC1S" else uastc
-    for found in source.images(content, r, target):
+    for found in READERS[r["texture_format"]](content, r, target):
         if image in (None, found[0]):
             yield found
 

@@ -145,6 +145,21 @@ def unpacked(scheme: str, data: bytes, expected: int) -> bytes:
     raise ValueError(f"unsupported level supercompression {scheme}")
 
 
+def block_images(content: bytes, r: dict, block: tuple[int, int]) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(image, level, width, height, blocks) of a descriptors() row whose levels hold 16-byte blocks of this size."""
+    for level in range(r["levels"]):
+        at, n, full = (int.from_bytes(content[HEADER + 24 * level + 8 * j :][:8], "little") for j in range(3))
+        if at + n > len(content):
+            raise ValueError("level past the end")
+        data = unpacked(r["scheme"], content[at : at + n], full)
+        w, h = max(1, r["width"] >> level), max(1, r["height"] >> level)
+        size = -(-w // block[0]) * -(-h // block[1]) * 16
+        if len(data) != size * r["images"]:
+            raise ValueError(f"{r['texture_format'].partition('_')[0]} block data size mismatch")
+        for k in range(r["images"]):
+            yield k, level, w, h, data[k * size : (k + 1) * size]
+
+
 def plain(r: dict, image: int) -> tuple:
     """(colour space, level sizes, payload, error) of a descriptors() row."""
     if r["error"]:
