@@ -125,13 +125,17 @@ HDR = {"UASTC_HDR_4x4": ((4, 4), "ASTC_HDR_4X4"), "ASTC_HDR_6x6": ((6, 6), "ASTC
 
 
 def hdr_image(data: bytes, width: int, height: int, source: str, target: str) -> bytes:
-    """The blocks of an HDR image, which pass as they are."""
+    """The blocks of an HDR image, which pass as they are, or its texels."""
     (w, h), own = HDR[source]
-    if target != own:
-        raise ValueError(f"no way to {target} from {source}")
     if len(data) != -(-width // w) * -(-height // h) * 16:
         raise ValueError("block data size mismatch")
-    return data
+    if target == own:
+        return data
+    from . import astc_hdr
+
+    if target not in astc_hdr.TARGETS:
+        raise ValueError(f"no way to {target} from {source}")
+    return astc_hdr.image(data, width, height, (w, h), target)
 
 
 def hdr_images(content: bytes, r: dict, target: str) -> Iterator[tuple[int, int, int, int, bytes]]:

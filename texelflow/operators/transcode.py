@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..codecs import astc, etc1s, packers, uastc
+from ..codecs import astc, astc_hdr, etc1s, packers, uastc
 from ..plans import catalog
 from ..sources import basis, ktx2
 
@@ -19,7 +19,7 @@ FAULTS = (ValueError, IndexError, StopIteration, RuntimeError, ZeroDivisionError
 
 
 #: Targets that have a way from each source.
-MADE = {"ETC1S": packers.PACKED, "UASTC_LDR_4x4": (*packers.PACKED, "ASTC_LDR_4X4")} | {name: (target,) for name, (_, target) in astc.HDR.items()}
+MADE = {"ETC1S": packers.PACKED, "UASTC_LDR_4x4": (*packers.PACKED, "ASTC_LDR_4X4")} | {name: (target, *astc_hdr.TARGETS) for name, (_, target) in astc.HDR.items()}
 READERS = {"ETC1S": etc1s.images, "UASTC_LDR_4x4": uastc.images} | dict.fromkeys(astc.HDR, astc.hdr_images)
 
 
