@@ -39,6 +39,12 @@ def _least_squares(v: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.nda
     return sound, np.clip(first, 0, 255), np.clip(second, 0, 255)
 
 
+def distances(v: np.ndarray, tones: np.ndarray) -> np.ndarray:
+    """(n, texels, tones) squared distances of v (n, texels, c) and tones (n, tones, c); exact for whole numbers."""
+    v, tones = v.astype(np.float64), tones.astype(np.float64)
+    return (v * v).sum(2)[:, :, None] + (tones * tones).sum(2)[:, None, :] - 2 * (v @ tones.transpose(0, 2, 1))
+
+
 def _to_565(c: np.ndarray) -> np.ndarray:
     most = np.array((31, 63, 31))
     q = np.floor(c * most / 255 + 0.5).astype(np.int64)
@@ -61,7 +67,7 @@ def _bc1_choice(v: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[n
     """(error, c0, c1, selectors) with c0 >= c1; equal ones use selector 0 alone."""
     x, y = _to_565(first), _to_565(second)
     c0, c1 = np.maximum(x, y), np.minimum(x, y)
-    off = ((v[:, :, None, :] - _bc1_palette(c0, c1, np.ones(len(v), bool))[:, None]) ** 2).sum(3)
+    off = distances(v, _bc1_palette(c0, c1, np.ones(len(v), bool)))
     selectors = np.where((c0 == c1)[:, None], 0, off.argmin(2))
     return np.take_along_axis(off, selectors[:, :, None], 2)[:, :, 0].sum(1), c0, c1, selectors
 
@@ -126,7 +132,7 @@ def _bc7_choice(v: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[n
         ends = np.stack([np.clip(np.floor((e - p) / 2 + 0.5), 0, 127).astype(np.int64) * 2 + p for e, p in zip((first, second), low, strict=True)], axis=1)
         w = BC7_WEIGHTS[None, :, None]
         tones = (ends[:, :1] * (64 - w) + ends[:, 1:] * w + 32) >> 6  # n, 16, 4
-        off = ((v[:, :, None, :] - tones[:, None]) ** 2).sum(3)
+        off = distances(v, tones)
         selectors, error = off.argmin(2), off.min(2).sum(1)
         if best is None:
             best = error, ends, selectors

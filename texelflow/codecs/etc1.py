@@ -8,6 +8,7 @@ from __future__ import annotations
 import numpy as np
 
 from ..functions.pixels import ETC1_MODIFIERS
+from .bc import distances
 
 MODIFIERS = np.array(ETC1_MODIFIERS)
 #: The two bits of a selector, least modifier first.
@@ -45,7 +46,7 @@ def _fit(half: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     best = None
     for t, row in enumerate(MODIFIERS):
         tone = np.clip(base[:, None, :] + row[None, :, None], 0, 255)  # n, 4, 3
-        off = ((half[:, :, None, :] - tone[:, None, :, :]) ** 2).sum(3)
+        off = distances(half, tone)
         selector = off.argmin(2)
         error = off.min(2).sum(1)
         if best is None:
