@@ -203,6 +203,18 @@ def test_near_duplicates(spark, documents):
     assert len(texts(minhash.keep_one(docs))) == len(want)
 
 
+def test_near_duplicates_that_repeat_their_content(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(20):  # a text and itself twice or three times: the same shingles, other counts
+        words = [f"t{k}w{x}" for x in rng.integers(100_000, size=200)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words * (2 + k % 2)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = near_classes(rows)
+    assert [len(c) for c in want] == [2] * 20
+    assert found_classes(minhash.near_duplicates(docs)) == want
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, empty):
     got = minhash.near_duplicates(odd).collect()
     assert sorted(r["class_size"] for r in got) == [1, 1, 2, 2, 3, 3, 3, 4, 4, 4, 4]  # null, empty and blank texts are copies

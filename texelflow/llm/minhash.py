@@ -1,8 +1,9 @@
 """Near-duplicate detection with DartMinHash over word shingles.
 
 Signatures: every shingle throws darts, a Poisson process over its weight and rank that depends only on the
-shingle's hash. Darts that land below the shingle's weight (1 + ln of its count in the text) count; each belongs
-to one of COORDINATES coordinates, and the earliest dart a coordinate gets is its value. The rank axis is cut
+shingle's hash. Darts that land below the shingle's weight count; each belongs to one of COORDINATES coordinates,
+and the earliest dart a coordinate gets is its value. All distinct shingles of a text weigh 1, however often they
+occur, so signatures agree with the similarity that decides links. The rank axis is cut
 into widening regions; a text throws into the next one only until all its coordinates have a dart.
 
 Links: texts with the same set of shingles are one node. Nodes that agree in a band of ROWS coordinates share a
@@ -108,8 +109,8 @@ def shingle_sets(texts: list[str], size: int) -> Iterator[tuple[int, list[tuple[
         h, at = words(run, signs=False)
         out = []
         for k in range(len(run)):
-            s, n = np.unique(shingles(h[at[k] : at[k + 1]], size), return_counts=True)
-            out.append((s, 1 + np.log(np.maximum(n, 1))))
+            s = np.unique(shingles(h[at[k] : at[k + 1]], size))
+            out.append((s, np.ones(len(s))))
         yield first, out
 
 
