@@ -297,6 +297,18 @@ def test_repeats(spark, documents, odd, empty):
     assert suffix_dedup.dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("window", [100, 300])
+def test_repeats_of_other_windows(spark, window):
+    rng = np.random.default_rng(10)
+    noise = lambda n: "".join(map(chr, rng.integers(97, 123, size=n)))
+    passages = [noise(n) for n in (99, 100, 150, 199, 250, 299, 300, 400)]
+    rows = [(k, noise(int(rng.integers(0, 400))) + passages[k % 8] + noise(int(rng.integers(0, 400)))) for k in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute_repeats(rows, window)
+    assert found_repeats(suffix_dedup.dedup(docs, window=window)) == want
+    assert found_repeats(suffix_dedup.dedup(docs, window=window, hot_group=3)) == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.binary(max_size=6).map(lambda b: bytes(x % 3 for x in b)), max_size=12), max_size=9))
 def test_loser_tree(runs):

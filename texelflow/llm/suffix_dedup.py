@@ -87,7 +87,7 @@ def _bitmap(grams: DataFrame) -> np.ndarray:
     return out
 
 
-def _runs(rows: DataFrame, parts: int) -> DataFrame:
+def _runs(rows: DataFrame, parts: int, window: int) -> DataFrame:
     """Front-coded sorted runs of the suffixes at the anchors of `spans`, cut by ranges of the gram's hash."""
 
     def flush(items: list) -> Iterator[pa.RecordBatch]:
@@ -109,7 +109,7 @@ def _runs(rows: DataFrame, parts: int) -> DataFrame:
                 raw = text.encode()
                 for s in spans:
                     a, b, p = s["a"], s["b"], s["p"]
-                    key = (s["gram"] * SPREAD % (1 << 64)).to_bytes(8, "big") + raw[p : b + WINDOW] + END + raw[a:p][::-1] + END
+                    key = (s["gram"] * SPREAD % (1 << 64)).to_bytes(8, "big") + raw[p : b + window] + END + raw[a:p][::-1] + END
                     items.append((key, (d1, d2, p, s["single"])))
                 if len(items) >= RUN:
                     yield from flush(items)
@@ -148,7 +148,7 @@ def clusters(rights: list[int], lefts: list[bytes], reach: list[int], window: in
     return found
 
 
-def _merged(rows: DataFrame) -> DataFrame:
+def _merged(rows: DataFrame, window: int) -> DataFrame:
     """Covered bytes (d1, d2, begin, end) found by merging each range's runs."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -167,7 +167,7 @@ def _merged(rows: DataFrame) -> DataFrame:
                 lefts.append(key[end + 1 : -1])
             # the shared prefix of two keys ends at the shorter right context at the latest
             shared = [min(max(0, h - 8), len(r), len(q)) for (_, h, _), r, q in zip(group, rights, [b"", *rights], strict=False)]
-            for (_, _, ref), got in zip(group, clusters(shared, lefts, [len(r) for r in rights], WINDOW), strict=True):
+            for (_, _, ref), got in zip(group, clusters(shared, lefts, [len(r) for r in rights], window), strict=True):
                 if ref[3]:
                     out.extend((int(ref[0]), int(ref[1]), int(ref[2]) - left, int(ref[2]) + right) for left, right in got)
 
@@ -237,7 +237,7 @@ def covered(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
         return _joined(rows.select(*DOC, "text"), scratch.save(spans, f"spans-{scratch.next()}"))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    covers = whole.unionByName(_merged(_runs(with_text(open_.filter(F.col("k") <= hot_group)), parts)))
+    covers = whole.unionByName(_merged(_runs(with_text(open_.filter(F.col("k") <= hot_group)), parts, window), window))
     large = open_.filter(F.col("k") > hot_group)
     if not large.isEmpty():
         windows = scratch.save(_windows(with_text(large), window), "windows")
