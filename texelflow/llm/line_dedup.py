@@ -3,7 +3,8 @@
 A run is a written table, sorted by key hash within hash partitions: a row a line key with the number of
 documents that hold it and the largest id among them. Each batch of documents adds its own run at level 0; as
 soon as a level has FANOUT runs they are merged into one of the next level, so the live runs stay few.
-A batch's new lines are those that merge-anti-join the runs. Corpus-wide rules read the merged counts.
+Corpus-wide rules read the merged counts; dedup() needs only these, so its batches don't anti-join the runs.
+LineRuns.new() does: it gives the lines of a batch that are in no run.
 
 Keys: lines with blanks and controls `[\\x20\\x09-\\x0D]` stripped at both ends, A-Z lower-cased; 128 hash bits.
 
