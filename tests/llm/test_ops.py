@@ -57,8 +57,8 @@ def test_packing(spark, documents, odd, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    for docs in (documents, odd):
+    special = spark.createDataFrame([(1, "hello <|endoftext|> world"), (2, "<|endoftext|>"), (3, "\x1c a\u3000b \x85 's")], odd.schema.names[:2])
+    for docs in (documents, odd, special):
         want = [(d, [*t.encode(x, add_special_tokens=False).ids, 0]) for d, x in texts(docs)]
         pieces = packing.pack(docs)
         check_packing(pieces.collect(), want)
@@ -341,14 +341,30 @@ TREES = {}
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from("aeitn  hsr\n\t'é1-=語😀\x1c\x85\u3000ll"), max_size=900), st.sampled_from([4, 9, 64]))
-def test_tree_equals_direct(text, leaf):
+@given(text=st.text(alphabet=st.sampled_from("aeitn  hsrve\n\t'é1-=語😀\x1c\x85\u3000ll"), max_size=900), leaf=st.sampled_from([1, 2, 9, 64]))
+def test_tree_equals_direct(tiktoken_encoding, text, leaf):
     if not TREES:
         base = bpe.loaded(*bpe._ranks("byte_bpe_50k.tiktoken"))
         import public_tokenizers as P
 
-        TREES.update({n: bpe.TreeBpe(base.ranks, P.PATTERN, n) for n in (4, 9, 64)})
+        TREES.update({n: bpe.TreeBpe(base.ranks, P.PATTERN, n) for n in (1, 2, 9, 64)})
     tree = TREES[leaf]
-    assert tree.encode(text) == tree.base.encode_ordinary(text)
-    pieces = [i for m in tree.split.findall(text) for i in tree.piece(m.encode())]
-    assert pieces == tree.base.encode_ordinary(text) and tree.decode(pieces) == text.encode()
+    assert tree.matches(text) == tree.split.findall(text)
+    ids = tree.encode(text)
+    assert ids == tiktoken_encoding.encode_ordinary(text) and tree.decode(ids) == text.encode()
+    run = "".join(text.split()).replace("1", "")  # long matches of one kind
+    assert tree.encode(run) == tiktoken_encoding.encode_ordinary(run)
+
+
+def test_trees_are_built_on_plain_documents(documents, tiktoken_encoding):
+    base = bpe.loaded(*bpe._ranks("byte_bpe_50k.tiktoken"))
+    import public_tokenizers as P
+
+    tree = bpe.TreeBpe(base.ranks, P.PATTERN)
+    longer = 0
+    for _, x in texts(documents):
+        longer += any(len(m.encode()) > 1 for m in tree.split.findall(x))
+        before = tree.seams
+        assert tree.encode(x) == tiktoken_encoding.encode_ordinary(x)
+        assert tree.seams - before == max(0, -(-len(x) // bpe.LEAF_CHARS) - 1)  # every text is reduced from its leaves
+    assert longer and tree.joins > 10 * longer and tree.seams

@@ -1,6 +1,6 @@
 """Packing along a space-filling curve.
 
-1. Each document is encoded once; its hashed token vector is projected to DIMS dimensions, which give a
+1. Each document is encoded once, by the tokenizer file; its hashed token vector is projected to DIMS dimensions, which give a
    Hilbert key. Ids, key and length go to a written table, two bytes an id where the vocabulary allows it.
 2. Only (key, id, row, length) are range-sorted. Equal keys are told apart by id and row, so a large group of
    equal documents is split over ranges. Each range adds up its lengths; the ranges' totals (one row a range)
@@ -9,12 +9,14 @@
    Only the last sequence may need padding.
 
 Defined results: null and empty texts are the end id alone; repeated rows are packed each; null ids are kept
-and sort first; extra columns aren't read; an empty table gives an empty result.
+and sort first; ties on the curve go by id, then by row; a text of any length is encoded whole; extra columns
+aren't read, so they may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _ranks, loaded
+from .bpe import Kept, white_space_of_unicode
 from .common import Scratch, arrow_map, text_of
 
 DIMS, BITS = 4, 12
@@ -32,6 +34,42 @@ DIMS, BITS = 4, 12
 FEATURES = 1 << 14
 
 
+class FileTokenizer:
+    """Ids of a file of the tokenizers library, without added special tokens.
+
+    Its byte-level pre-tokenizer splits by the public pattern and encodes each match on its own, so a match is
+    encoded once and its ids are kept; texts that hold the string of a special token are encoded whole."""
+
+    def __init__(self, path: str, pattern: str):
+        import regex
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        self.size = self.whole.get_vocab_size(with_added_tokens=True)
+        self.split = regex.compile(white_space_of_unicode(pattern))
+        special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.ids_of = Kept(lambda match: np.array(self.whole.encode(match, add_special_tokens=False).ids, "<u4").tobytes())
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.special is not None and self.special.search(text):
+            return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.frombuffer(b"".join(map(self.ids_of.__getitem__, self.split.findall(text))), "<u4")
+
+
+@functools.lru_cache(2)
+def _loaded(path: str, pattern: str) -> FileTokenizer:
+    return FileTokenizer(path, pattern)
+
+
+def tokenizer(name: str) -> FileTokenizer:
+    import public_tokenizers  # installed with each Python
+
+    return _loaded(public_tokenizers.path(name), public_tokenizers.PATTERN)
+
+
 @functools.cache
 def projection(vocabulary: int) -> np.ndarray:
     """Row of token t: the +-1 projections of its hashed feature."""
@@ -68,17 +106,20 @@ def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def _encoded(docs: DataFrame, ranks: str, end_id: int, id_col: str, text_col: str, kind: str) -> DataFrame:
+def _wide(of: FileTokenizer) -> str:
+    return "<u2" if of.size <= 1 << 16 else "<u4"
+
+
+def _encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = loaded(*_ranks(ranks))
-        project = projection(len(tree.bytes_of) + 1)
-        wide = "<u2" if len(project) <= 1 << 16 else "<u4"
+        of = tokenizer(vocabulary)
+        project, wide = projection(of.size), _wide(of)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             mean = np.zeros((batch.num_rows, DIMS))
             kept, n = [], []
             for k, text in enumerate(batch.column(1)):
-                ids = np.append(tree.encode_array(text.as_py()), np.uint32(end_id))
+                ids = np.append(of.encode(text.as_py() or ""), np.uint32(end_id))
                 mean[k] = project.take(ids, 0).sum(0) / len(ids)
                 kept.append(ids.astype(wide).tobytes())
                 n.append(len(ids))
@@ -98,12 +139,12 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part), pa.int32()), batch.column(0), pa.array(n), pa.array(ends - n)], ["part", "row", "n", "before"])
 
 
-def pack(docs: DataFrame, length: int = 1024, ranks: str = "byte_bpe_50k.tiktoken", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, length: int = 1024, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row a piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and (with_ids) its ids."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     scratch = Scratch(spark, "packing")
-    coded = scratch.save(_encoded(docs, ranks, end_id, id_col, text_col, kind), "encoded")
+    coded = scratch.save(_encoded(docs, vocabulary, end_id, id_col, text_col, kind), "encoded")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = ["curve", "id", "row"]
     light = coded.select(*by, "n").repartitionByRange(ranges, *by).sortWithinPartitions(*by).select("row", "n")
@@ -113,8 +154,9 @@ def pack(docs: DataFrame, length: int = 1024, ranks: str = "byte_bpe_50k.tiktoke
         starts.append((part, total))
         total += n
     bases = spark.createDataFrame(starts, "part int, base bigint")
+    scratch.keep("encoded", "placed")
     placed = placed.join(F.broadcast(bases), "part").select("row", (F.col("base") + F.col("before")).alias("at"))
-    wide = "<u2" if len(loaded(*_ranks(ranks)).bytes_of) < 1 << 16 else "<u4"
+    wide = _wide(tokenizer(vocabulary))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
