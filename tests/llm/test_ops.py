@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 from texelflow.llm import bpe, exact_dedup, line_dedup, minhash, packing, quality, queries, secret_scan, suffix_dedup, topk, url_filter
 from texelflow.llm.lcp_merge import decoded, front_code, merge
-from texelflow.llm.anchors import stretches
+from texelflow.llm.anchors import Common, stretches
 
 SF = "/root/testdata/sf0.001"
 
@@ -293,11 +293,39 @@ def test_repeats(spark, documents, odd, empty):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = brute_repeats(rows, 200)
     assert found_repeats(suffix_dedup.dedup(docs)) == want
-    assert found_repeats(suffix_dedup.dedup(docs, hot_group=3)) == want  # hot grams go window by window
+    assert found_repeats(suffix_dedup.dedup(docs, common_least=3, range_size=50)) == want  # common grams come last as anchors
     assert suffix_dedup.dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("window", [100, 300])
+def test_the_merge_decides_all_repeats(spark, documents, monkeypatch):
+    """Hashes only rule out: without sorted runs and their merge nothing is removed."""
+    monkeypatch.setattr(suffix_dedup, "_merged", lambda runs, parts, window: spark.createDataFrame([], "d1 bigint, d2 bigint, spans binary"))
+    assert suffix_dedup.dedup(documents).agg({"n_removed": "sum"}).first()[0] == 0
+
+
+def test_runs_are_merged_across_tasks(spark, documents, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "RUN_BYTES", 3000)  # a few suffixes a run
+    rows = texts(documents)
+    assert found_repeats(suffix_dedup.dedup(documents, range_size=500)) == brute_repeats(rows, 200)
+    with pytest.raises(ValueError):
+        suffix_dedup.dedup(documents, window=56)
+
+
+def test_common_grams_come_last_as_anchors():
+    rng = np.random.default_rng(4)
+    text = bytes(rng.integers(97, 101, size=2000, dtype=np.uint8))
+    plain = stretches([text], 200)
+    common = Common(plain["gram"][::2])
+    again = stretches([text], 200, common)
+    for p, g in zip(again["p"], again["gram"], strict=True):
+        assert not common.holds(np.array([g])).any()
+    windows = lambda s: {w for i, j in zip(s["a"], s["b"], strict=True) for w in range(i, j + 1)}
+    assert windows(again) == windows(plain) == set(range(1801)) and again["moved"].any()
+    whole = Common(np.concatenate([stretches([text], 57)["gram"]]))  # nearly all grams are common: some stay anchors
+    assert windows(stretches([text], 200, whole)) == windows(plain)
+
+
+@pytest.mark.parametrize("window", [100, 300, 400])
 def test_repeats_of_other_windows(spark, window):
     rng = np.random.default_rng(10)
     noise = lambda n: "".join(map(chr, rng.integers(97, 123, size=n)))
@@ -306,7 +334,7 @@ def test_repeats_of_other_windows(spark, window):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = brute_repeats(rows, window)
     assert found_repeats(suffix_dedup.dedup(docs, window=window)) == want
-    assert found_repeats(suffix_dedup.dedup(docs, window=window, hot_group=3)) == want
+    assert found_repeats(suffix_dedup.dedup(docs, window=window, common_least=3)) == want
 
 
 @settings(max_examples=60, deadline=None)
