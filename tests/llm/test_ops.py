@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import duckdb
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from texelflow.llm import bpe, exact_dedup, line_dedup, minhash, packing, quality, queries, secret_scan, suffix_dedup, topk, url_filter
 from texelflow.llm.lcp_merge import decoded, front_code, merge
@@ -149,11 +151,41 @@ def test_runs_are_compacted(spark):
 
     runs = line_dedup.LineRuns(spark, Scratch(spark, "t"))
     for b in range(5):
-        batch = spark.createDataFrame([(k, 0, b) for k in range(b, b + 3)], "k1 bigint, k2 bigint, id bigint")
+        batch = spark.createDataFrame([(k, 0, b, True) for k in range(b, b + 3)], "k1 bigint, k2 bigint, id bigint, first boolean")
         assert {r["k1"] for r in runs.new(batch).collect()} == ({0, 1, 2} if b == 0 else {b + 2})
         runs.add(batch)
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert {r["k1"]: (r["n_docs"], r["max_id"]) for r in runs.counts().collect()}[3] == (3, 3)
+    assert sorted(r["k1"] for r in runs.known().collect()) == list(range(7))  # each key is new in one run alone
+
+
+def test_lines_of_batches_join_the_runs(spark, documents, monkeypatch):
+    """dedup()'s later batches find keys that the runs know."""
+    seen = []
+    add = line_dedup.LineRuns.add
+
+    def spied(self, lines):
+        known = self.known()
+        seen.append((lines.select("k1", "k2").distinct().count(), 0 if known is None else known.count(), self.new(lines).select("k1", "k2").distinct().count()))
+        add(self, lines)
+
+    monkeypatch.setattr(line_dedup.LineRuns, "add", spied)
+    line_dedup.dedup(documents).count()
+    assert len(seen) == line_dedup.BATCHES and all(b < a for a, _, b in seen[1:])
+    for (_, known, new), (_, after, _) in zip(seen, seen[1:], strict=False):
+        assert after == known + new
+
+
+def test_long_documents_lines_take_linear_time(spark):
+    def seconds(n):
+        docs = spark.range(5).select(F.col("id").alias("doc_id"), F.concat_ws("\n", F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.concat(F.lit("a line that is long enough to be counted "), k.cast("string")))).alias("text"))
+        begun = time.perf_counter()
+        got = line_dedup.dedup(docs).collect()
+        assert sorted((r["n_lines"], r["n_dropped"], len(r["kept_text"]) > 0) for r in got) == [(n, 0, True)] + [(n, n, False)] * 4
+        return time.perf_counter() - begun
+
+    seconds(100)
+    assert seconds(80_000) < 4 * seconds(20_000) + 2
 
 
 def near_classes(rows, size=5, least=0.8):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import contextlib
 import itertools
+import os
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -27,12 +29,14 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, that all executors share; own one only where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir, that all executors share. Only with a local master, where driver and
+    executors are one process, an unset one is replaced by a folder of this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    if not (spark.sparkContext.master or "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "texelflow-checkpoints")
 
 
 class Scratch:
@@ -73,6 +77,25 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+class Renamed:
+    """A table with its columns renamed c0, c1, ...: an operator's own columns, that have other names, can't clash
+    with any. back() gives the names back."""
+
+    def __init__(self, docs: DataFrame):
+        self.names = docs.columns
+        self.df = docs.toDF(*[f"c{i}" for i in range(len(self.names))])
+
+    def at(self, name: str) -> str:
+        if name not in self.names:
+            name = next(n for n in self.names if n.lower() == name.lower())
+        return f"c{self.names.index(name)}"
+
+    def back(self, df: DataFrame, **more: Column) -> DataFrame:
+        """The table's columns under their names, those in `more` replaced or added at the end."""
+        new = {n.lower() for n in more}
+        return df.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(self.names) if n.lower() not in new], *[v.alias(n) for n, v in more.items()])
+
+
 def hot_keys(counts: DataFrame, key: list[str], n: str, total: int) -> DataFrame:
     """Keys that hold at least total / HOT_SHARE rows; as their counts add up to total, there are at most HOT_SHARE."""
     return counts.filter(F.col(n) >= max(HOT_LEAST, total // HOT_SHARE)).select(*key)
@@ -108,20 +131,22 @@ def if_small(table: DataFrame) -> DataFrame:
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """Names a row by its id and whole text, however often the table is read; equal only for repeated rows."""
-    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.sha2(text_of(text_col), 224))
+    """Names a row by its id and whole text, however often the table is read; equal only for repeated rows. A null
+    id gives no first part, another one a part that ends in a mark, so a null isn't the string null."""
+    return F.concat(F.coalesce(F.concat(F.col(id_col).cast("string"), F.lit(":")), F.lit("")), F.sha2(text_of(text_col), 224))
 
 
 def keep_decided(docs: DataFrame, decided: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
     """docs without the rows that `decided` (doc: a row_key, kept) drops; rows it doesn't name stay. A repeated
-    row of which one stays is left once."""
+    row of which one stays is left once. Columns of docs may have any name."""
     per_key = decided.groupBy("doc").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
-    gone = scratch.save(per_key.filter("not kept or n > 1").withColumnRenamed("doc", "__doc"), "gone")
-    rows = docs.withColumn("__row", row_key(id_col, text_col))
-    on = F.col("__row") == F.col("__doc")
-    out = rows.join(if_small(gone), on, "left_anti").drop("__row")
+    gone = scratch.save(per_key.filter("not kept or n > 1"), "gone")
+    own = Renamed(docs)
+    rows = own.df.withColumn("doc", row_key(own.at(id_col), own.at(text_col)))
     again = gone.filter("kept and n > 1")
+    scratch.keep("gone")
+    out = own.back(rows.join(if_small(gone), "doc", "left_anti"))
     if again.isEmpty():
         return out
-    once = rows.join(again, on, "left_semi").dropDuplicates(["__row"]).drop("__row")  # a partial first() before the shuffle
-    return out.unionByName(once)
+    once = rows.join(again, "doc", "left_semi").dropDuplicates(["doc"])  # a partial first() before the shuffle
+    return out.unionByName(own.back(once))
