@@ -294,10 +294,34 @@ def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     secret_scan.scan(first, ledger).count()
     secret_scan.scan(second, ledger).count()
     assert ledger.table().count() == 3
+    assert {r["doc_id"]: len(r["found"]) for r in secret_scan.scan(second, ledger).collect()} == {3: 1, 4: 1}
     secret_scan.scan(first, ledger, version="2").count()
     assert ledger.table().groupBy("rule_version").count().collect() and ledger.table().count() == 5
 
 
+def test_the_query_meets_seen_pairs(spark, documents, monkeypatch):
+    """Later batches of a scan find pairs that earlier ones left in the ledger, and don't scan them again."""
+    met = []
+    add = secret_scan.BlobLedger.add
+    monkeypatch.setattr(secret_scan.BlobLedger, "add", lambda *a: met.append(add(*a)))
+    docs = documents.unionByName(documents.withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    ledger = secret_scan.BlobLedger(spark, secret_scan.Scratch(spark, "t").path("ledger"))
+    got = secret_scan.digest(secret_scan.scan(docs, ledger)).collect()
+    assert len(met) == secret_scan.BATCHES and met[0] == 0 and met[1] > 0
+    assert ledger.table().count() == ledger.table().select("blob").distinct().count() == documents.select("text").distinct().count()
+    assert sorted((r["doc_id"], r["spans"]) for r in got) == sorted((d, brute_spans(x)) for d, x in texts(docs))
+
+
+def test_many_findings_of_long_texts(spark):
+    x = "".join(f"k{k} token=secret{k} é {'0a' * (12 + k % 3)}\n" for k in range(4000))
+    docs = spark.createDataFrame([(1, x), (2, x + " token=abcdefg")], "doc_id bigint, text string")
+    for r in secret_scan.digest(secret_scan.scan(docs)).collect():
+        assert r["spans"] == brute_spans(x if r["doc_id"] == 1 else x + " token=abcdefg")
+    for r in secret_scan.without_secrets(docs).collect():
+        want = "".join(f"k{k} [SECRET] é [SECRET]\n" for k in range(4000))
+        assert r["text"] == want + (" [SECRET]" if r["doc_id"] == 2 else "")
+
+
 def brute_repeats(rows, window):
     data = [x.encode() for _, x in rows]
     seen = collections.Counter(x[i : i + window] for x in data for i in range(len(x) - window + 1))
