@@ -16,7 +16,7 @@ aren't read, so they may have any name; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
-import os
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +26,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Kept, white_space_of_unicode
 from .common import Scratch, arrow_map, text_of
 
 DIMS, BITS = 4, 12
@@ -34,29 +33,55 @@ DIMS, BITS = 4, 12
 FEATURES = 1 << 14
 
 
+def _bytes_of_letters() -> dict[str, int]:
+    """The byte-level alphabet: visible Latin-1 characters stand for themselves, the other bytes, in order, for 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = {chr(b): b for b in seen}
+    return out | {chr(256 + n): b for n, b in enumerate(sorted(set(range(256)) - set(seen)))}
+
+
 class FileTokenizer:
-    """Ids of a file of the tokenizers library, without added special tokens.
+    """Ids that the tokenizers library gives by one of its files, without adding special tokens.
 
-    Its byte-level pre-tokenizer splits by the public pattern and encodes each match on its own, so a match is
-    encoded once and its ids are kept; texts that hold the string of a special token are encoded whole."""
+    Where the ids of the file are the ranks of its merges and its parts are those of plain byte-level BPE, which is
+    checked, a faster engine encodes with the file's vocabulary and special tokens; the ids are the same. Otherwise
+    the library encodes."""
 
     def __init__(self, path: str, pattern: str):
-        import regex
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.size = self.whole.get_vocab_size(with_added_tokens=True)
-        self.split = regex.compile(white_space_of_unicode(pattern))
-        special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.ids_of = Kept(lambda match: np.array(self.whole.encode(match, add_special_tokens=False).ids, "<u4").tobytes())
+        with open(path, encoding="utf-8") as f:  # an installed file of each executor's Python, not a data table
+            said = json.load(f)
+        letters = _bytes_of_letters()
+        added = {t["content"]: t["id"] for t in said["added_tokens"]}
+        ranks = {}
+        self.engine = None
+        if self._plain(said, letters):
+            ranks = {bytes(map(letters.__getitem__, k)): v for k, v in said["model"]["vocab"].items() if k not in added}
+            self.engine = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+
+    @staticmethod
+    def _plain(said: dict, letters: dict[str, int]) -> bool:
+        model, split = said["model"], said["pre_tokenizer"] or {}
+        vocab, added = model["vocab"], {t["content"] for t in said["added_tokens"]}
+        if model["type"] != "BPE" or said["normalizer"] or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"):
+            return False
+        if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            return False
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in said["added_tokens"]):
+            return False
+        made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        ids = [vocab.get(m, -1) for m in made]
+        singles = [vocab.get(c, 1 << 40) for c in letters]
+        return ids == sorted(ids) and max(singles) < min(ids, default=1 << 41) and set(vocab) - added == set(made) | set(letters)
 
     def encode(self, text: str) -> np.ndarray:
-        if self.special is not None and self.special.search(text):
-            return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.frombuffer(b"".join(map(self.ids_of.__getitem__, self.split.findall(text))), "<u4")
+        if self.engine is not None:
+            return self.engine.encode_to_numpy(text, allowed_special="all")
+        return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @functools.lru_cache(2)
