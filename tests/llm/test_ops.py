@@ -117,6 +117,43 @@ def test_urls(spark):
     assert (got[2]["host"], got[2]["path"], got[3]["host"]) == ("", "", "")
     assert (got[4]["rule"], got[5]["rule"], got[6]["rule"], got[7]["rule"], got[8]["host"], got[9]["rule"]) == ("org/fr/", "example.com/de/", None, None, "b:", "net/")
     assert url_filter.verdicts(spark.createDataFrame([], "page_id int, url string")).count() == 0
+    clash = ["t", "n", "gram", "ratio", "u", "shown", "action", "c0", "h1", "Score", "__row"]
+    wide = spark.createDataFrame([(*r, *["x"] * len(clash)) for r in rows], ["page_id", "url", *clash])
+    out = url_filter.verdicts(wide)
+    assert out.columns == ["page_id", "url", *[c for c in clash if c != "Score"], "host", "path", "rule", "score", "verdict"]
+    assert sorted((r["page_id"], r["verdict"], r["t"]) for r in out.collect()) == sorted((r[0], got[r[0]]["verdict"], "x") for r in rows)
+
+
+def test_urls_are_judged_as_a_whole(spark):
+    """Query, fragment, scheme and characters beyond Latin ones, and longer contexts than three characters, tell urls apart."""
+    rows = [(k, f"https://h{k}.net/a?word=stranger{k}#漢字") for k in range(60)] + [(100 + k, f"https://h{k}.org/fr/a?word=straight{k}#語学") for k in range(60)]
+    asked = [(200, "https://z.com/x?word=stranger#漢字"), (201, "https://z.com/x?word=straight#語学"), (202, "word=straight#語学"), (203, "word=stranger#漢字"), (204, "https://z.com/x" + "?word=stranger" * 20_000)]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.verdicts(spark.createDataFrame(rows + asked, "page_id int, url string")).collect()}
+    assert [got[k] for k in range(200, 205)] == ["block", "allow", "allow", "block", "block"]
+
+
+def test_url_models_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, f"http{'s' * int(rng.integers(2))}://{rng.choice(['a', 'bc', 'd.e'])}.{rng.choice(['net', 'org', 'com'])}/{rng.choice(['fr', 'en', 'x'])}/{''.join(rng.choice(list('abcé'), int(rng.integers(9))))}") for k in range(150)]
+    got = {r["page_id"]: r["score"] for r in url_filter.verdicts(spark.createDataFrame(rows, "page_id int, url string")).collect()}
+    pad, order = url_filter.START * url_filter.ORDER, url_filter.ORDER
+    action = {r["page_id"]: r["action"] for r in url_filter.judged(spark.createDataFrame(rows, "page_id int, url string"), "url").collect()}
+    after = {s: collections.defaultdict(collections.Counter) for s in url_filter.SIDES}
+    for k, u in rows:
+        if action[k] and hashlib.md5(u.encode()).hexdigest()[0] not in url_filter.KEPT_OUT:
+            for i, c in enumerate(u):
+                for n in range(order + 1):
+                    after[action[k]][(pad + u)[i + order - n : i + order]][c] += 1
+    alphabet = len({c for _, u in rows for c in u})
+
+    def p(side, context, c):
+        seen = after[side][context] if context in after[side] else {}
+        shorter = p(side, context[1:], c) if context else 1 / alphabet
+        return (seen.get(c, 0) + len(seen) * shorter) / (sum(seen.values()) + len(seen)) if seen else shorter
+
+    for k, u in rows:
+        ratios = [round((np.log(p("allow", (pad + u)[i : i + order], c)) - np.log(p("block", (pad + u)[i : i + order], c))) * 1e6) for i, c in enumerate(u)]
+        assert abs(got[k] - sum(ratios) / len(u)) < 1.5
 
 
 def test_top_k(spark):

@@ -67,35 +67,28 @@ _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
 def _url_sql() -> str:
-    """The same counts, interpolation and rounding as url_filter, for each gram that occurs."""
-    a, size = url_filter.ALPHABET, url_filter.ALPHABET ** (url_filter.ORDER + 1)
+    """The same counts, interpolation, rounding and calibration as url_filter."""
+    k = url_filter.ORDER + 1
     rules = sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))
     when = lambda out: " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{out(act, h, p)}'" for act, h, p in rules)
-    side = ""
-    for action in ("allow", "block"):
-        prior = f"1.0::DOUBLE / {a}"
-        side += f", t_{action} AS (SELECT gram, count(*) n FROM g WHERE action = '{action}' GROUP BY 1), p{action}x AS (SELECT gram, {prior} AS p FROM used)"
-        last = f"p{action}x"
-        for order in range(url_filter.ORDER + 1):
-            kept = a ** (order + 1)
-            s, c, now = f"s_{action}{order}", f"c_{action}{order}", f"p{action}{order}"
-            side += f""", {s} AS (SELECT gram % {kept} AS event, sum(n) c FROM t_{action} GROUP BY 1)
-, {c} AS (SELECT event // {a} AS context, sum(c) total, count(*) kinds FROM {s} GROUP BY 1)
-, {now} AS (SELECT u.gram, coalesce((coalesce({s}.c, 0) + kinds * p) / (total + kinds), p) AS p FROM {last} u LEFT JOIN {s} ON u.gram % {kept} = {s}.event LEFT JOIN {c} ON (u.gram % {kept}) // {a} = {c}.context)"""
-            last = now
-        side += f", q_{action} AS (SELECT * FROM {last})"
+    orders, last = "", "(SELECT '' AS e, 1.0::DOUBLE / (SELECT count(DISTINCT right(gram, 1)) FROM c) AS pa, 1.0::DOUBLE / (SELECT count(DISTINCT right(gram, 1)) FROM c) AS pb)"
+    for order in range(k):
+        step = lambda s: f"CASE WHEN t{s} > 0 THEN (s.{s} + k{s} * l.p{s}) / (t{s} + k{s}) ELSE l.p{s} END AS p{s}"
+        orders += f"""
+, s{order} AS (SELECT right(gram, {order + 1}) AS e, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b FROM c GROUP BY 1)
+, x{order} AS (SELECT left(e, {order}) AS x, sum(a)::BIGINT AS ta, sum(b)::BIGINT AS tb, count(*) FILTER (a > 0) AS ka, count(*) FILTER (b > 0) AS kb FROM s{order} GROUP BY 1)
+, p{order} AS (SELECT s.e, {step("a")}, {step("b")} FROM s{order} s JOIN x{order} ON left(s.e, {order}) = x JOIN {last} l ON right(s.e, {order}) = l.e)"""
+        last = f"p{order}"
     return f"""
 WITH u AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)
-, hp AS (SELECT page_id, row_number() OVER () AS rn, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), {_UPPER}), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u)
-, ruled AS (SELECT *, CASE {when(lambda act, h, p: h + p)} END AS rule, CASE {when(lambda act, h, p: act)} END AS action, translate(host || path, {_UPPER}) AS shown FROM hp)
-, ch AS (SELECT rn, action, i, strpos('{url_filter.CHARACTERS}', substr(shown, i, 1)) AS k FROM (SELECT rn, action, shown, unnest(generate_series(1, length(shown))) AS i FROM ruled))
-, g AS MATERIALIZED (SELECT rn, action, (coalesce(lag(k, 2) OVER w, 0) * {a} + coalesce(lag(k, 1) OVER w, 0)) * {a} + k AS gram FROM ch WINDOW w AS (PARTITION BY rn ORDER BY i))
-, used AS (SELECT DISTINCT gram FROM g)
-{side}
-, m AS (SELECT gram, round((ln(x.p) - ln(y.p)) * {url_filter.SCALE})::BIGINT AS r FROM q_allow x JOIN q_block y USING (gram))
-, t AS (SELECT rn, any_value(action) action, sum(r)::BIGINT AS t, count(*) AS n FROM g JOIN m USING (gram) GROUP BY 1)
-, th AS (SELECT (sum(t) FILTER (action = 'allow') / sum(n) FILTER (action = 'allow') + sum(t) FILTER (action = 'block') / sum(n) FILTER (action = 'block')) / 2 AS threshold FROM t)
-SELECT page_id, host, path, rule, coalesce(ruled.action, CASE WHEN coalesce(coalesce(t.t / t.n, 0) >= (SELECT threshold FROM th), true) THEN 'allow' ELSE 'block' END) AS verdict FROM ruled LEFT JOIN t USING (rn)
+, hp AS (SELECT page_id, row_number() OVER () AS rn, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), {_UPPER}), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path, translate(coalesce(url, ''), {_UPPER}) AS shown FROM u)
+, ruled AS (SELECT *, CASE {when(lambda act, h, p: h + p)} END AS rule, CASE {when(lambda act, h, p: act)} END AS action, substr(md5(shown), 1, 1) IN ({", ".join(f"'{x}'" for x in url_filter.KEPT_OUT)}) AS kept_out FROM hp)
+, g AS MATERIALIZED (SELECT rn, action, kept_out, substr(repeat(chr({ord(url_filter.START)}), {k - 1}) || shown, i, {k}) AS gram FROM (SELECT *, unnest(generate_series(1, length(shown))) AS i FROM ruled))
+, c AS MATERIALIZED (SELECT gram, count(*) FILTER (NOT kept_out AND action = 'allow') AS a, count(*) FILTER (NOT kept_out AND action = 'block') AS b FROM g GROUP BY 1){orders}
+, m AS (SELECT e AS gram, round((ln(pa) - ln(pb)) * {url_filter.SCALE})::BIGINT AS r FROM {last})
+, t AS (SELECT rn, any_value(action) AS action, any_value(kept_out) AS kept_out, sum(r)::BIGINT AS t, count(*) AS n FROM g JOIN m USING (gram) GROUP BY 1)
+, th AS (SELECT coalesce((sum(t) FILTER (action = 'allow') / sum(n) FILTER (action = 'allow') + sum(t) FILTER (action = 'block') / sum(n) FILTER (action = 'block')) / 2, 0) AS threshold FROM t WHERE kept_out)
+SELECT page_id, host, path, rule, coalesce(ruled.action, CASE WHEN coalesce(t.t / t.n, 0) >= (SELECT threshold FROM th) THEN 'allow' ELSE 'block' END) AS verdict FROM ruled LEFT JOIN t USING (rn)
 """
 
 
