@@ -160,7 +160,7 @@ def test_top_k(spark):
     rng = np.random.default_rng(5)
     rows = [(k, rng.normal(size=8).tolist()) for k in range(700)]
     rows += [(700 + k, rows[3][1]) for k in range(300)] + [(None, [1.0] * 8), (2000, None), (2001, [1.0, None] + [0.0] * 6), (2100, [float("nan")] * 8), (5, rows[5][1])]
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), pivots=16, block_rows=40)
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), pivots=16, block_rows=40, query_rows=3)
     sound = [(i, np.floor(1024 * np.array(v)).astype(np.int64)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     want = set()
     for q, x in {i: v for i, v in sound if i % 100 == 0}.items():
@@ -168,6 +168,24 @@ def test_top_k(spark):
         want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
     assert {tuple(r) for r in got.collect()} == want
     assert topk.top_k(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+    clash = spark.createDataFrame([(k, [float(k % 7), 1.0], 1, 2, "x") for k in range(50)], "vec_id bigint, embedding array<double>, id int, v int, cell string")
+    assert topk.top_k(clash).count() == 10
+
+
+def test_top_k_of_clustered_large_and_zero_vectors(spark):
+    rng = np.random.default_rng(6)
+    mid = rng.normal(size=(9, 6)) * 30
+    rows = [(k, (mid[k % 9] + rng.normal(size=6)).tolist()) for k in range(900)] + [(900, [0.0] * 6), (901, [0.0] * 6)]
+    rows += [(1000 + k, [float(k % 5), 3e17, -2e16, 0.0, 1.0, 2.0]) for k in range(8)] + [(1100, [-3e17] * 6), (1200, [1e300] + [0.0] * 5)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), block_rows=64, query_rows=2)
+    whole = lambda v: [max(-(1 << 63), min((1 << 63) - 1, int(np.floor(1024 * x)))) for x in v]
+    sound = [(i, whole(v)) for i, v in rows]
+    want = set()
+    for q, x in sound:
+        if q % 100 == 0:
+            score = [(-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(x, y, strict=True)))), i) for i, y in sound if i != q]
+            want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(score)[:10])}
+    assert {tuple(r) for r in got.collect()} == want
 
 
 def test_lines(spark, odd, empty):
