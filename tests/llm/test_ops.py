@@ -110,6 +110,40 @@ def test_quality(spark, documents, odd, empty):
     assert quality.accepted(odd, model).columns == odd.columns
 
 
+def test_ftrl_against_plain_updates():
+    """The vectorised updates are those of FTRL-proximal, weight by weight."""
+    rng = np.random.default_rng(1)
+    rows = [(np.unique(rng.integers(16, size=5)), None) for _ in range(40)]
+    rows = [(i, rng.integers(1, 4, size=len(i))) for i, _ in rows]
+    labels = rng.integers(2, size=40).astype(float)
+    w, bias = quality.train(rows, labels, bits=4, epochs=2)
+    z, n = [0.0] * 17, [0.0] * 17
+
+    def weight(i):
+        sign = 1 if z[i] > 0 else -1
+        return 0.0 if abs(z[i]) <= quality.L1 else -(z[i] - sign * quality.L1) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+
+    order = np.random.default_rng(11)
+    for _ in range(2):
+        for k in order.permutation(40):
+            x = {int(i): c * quality.SCALE / sum(rows[k][1]) for i, c in zip(*rows[k], strict=True)} | {16: 1.0}
+            now = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(now[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - labels[k]) * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / quality.ALPHA * now[i]
+                n[i] += g * g
+    assert np.allclose(w, [weight(i) for i in range(16)], atol=1e-6) and np.isclose(bias, weight(16))
+
+
+def test_buckets_of_the_exact_refinement(spark):
+    rows = spark.createDataFrame([(k, k % 100_000 * 1000 + 1) for k in range(0, 300_000, 37)] + [(-1, 33_000_001), (-2, 32_768), (-3, 32_768), (-4, None)], "id int, p long")
+    seen = collections.Counter(r["p"] for r in rows.collect())
+    for r in exact_dedup._marked(rows, "p", exact_dedup._shared(rows, "p")).collect():
+        assert r["p_shared"] == (r["p"] is not None and seen[r["p"]] > 1)
+    assert [exact_dedup._bits(n) for n in (0, 10**6, 10**12)] == [20, 23, 27]
+
+
 def test_urls(spark):
     rows = [(1, "HTTP://A.Example.NET/en/x?y#z"), (2, None), (3, "no scheme"), (4, "https://example.net.evil.org/fr/a"), (5, "https://shop.example.com/de/"), (6, "https://example.com/deep"), (7, "https://x.net"), (7, "https://x.net"), (8, "a://b://c/d"), (9, "https://q.net/a")]
     got = {r["page_id"]: r for r in url_filter.verdicts(spark.createDataFrame(rows, "page_id int, url string")).collect()}
