@@ -277,21 +277,35 @@ def test_long_documents_lines_take_linear_time(spark):
     assert seconds(80_000) < 4 * seconds(20_000) + 2
 
 
-def near_classes(rows, size=5, least=0.8):
-    sets, parent = [], list(range(len(rows)))
-    for _, x in rows:
-        w = x.lower().split()
-        sets.append(frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset())
+def weighted_shingles(x, size=5, weight="set"):
+    w = x.lower().split()
+    found = collections.Counter(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else {}
+    return dict(found) if weight == "count" else dict.fromkeys(found, 1)
+
+
+def near_links(rows, size=5, least=0.8, weight="set"):
+    """All pairs of places in rows whose similarity reaches `least`, by way of the shingles they share."""
+    sets, holders, both = [weighted_shingles(x, size, weight) for _, x in rows], collections.defaultdict(list), collections.Counter()
+    for k, s in enumerate(sets):
+        for shingle, n in s.items():
+            for j, m in holders[shingle]:
+                both[j, k] += min(n, m)
+            holders[shingle].append((k, n))
+    total = [sum(s.values()) for s in sets]
+    empty = [k for k, s in enumerate(sets) if not s]
+    return [p for p, n in both.items() if n >= least * (total[p[0]] + total[p[1]] - n)] + list(zip(empty, empty[1:], strict=False))
+
+
+def near_classes(rows, size=5, least=0.8, weight="set"):
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if a == sets[j] or len(a & sets[j]) >= least * len(a | sets[j]):
-                parent[find(i)] = find(j)
+    for i, j in near_links(rows, size, least, weight):
+        parent[find(i)] = find(j)
     out = collections.defaultdict(list)
     for i in range(len(rows)):
         out[find(i)].append(rows[i][0])
@@ -324,6 +338,31 @@ def test_near_duplicates(spark, documents):
     assert len(texts(minhash.keep_one(docs))) == len(want)
 
 
+def test_near_duplicates_of_a_whole_table(spark):
+    """No link of sf0.01 is lost, repeated lines and all."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = texts(docs)
+    links, found = near_links(rows), {}
+    for r in minhash.near_duplicates(docs).collect():
+        found[r["id"]] = r["class_id"]
+    caught = sum(found[rows[i][0]] == found[rows[j][0]] for i, j in links)
+    assert len(links) > 50 and caught == len(links)
+    assert found_classes(minhash.near_duplicates(docs)) == near_classes(rows)
+
+
+def test_near_duplicates_by_counts(spark):
+    """Weights, links and signatures are one measure: unequal counts of equal shingles count as different."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(24):
+        line, rest = ([f"k{k}w{x}" for x in rng.integers(100_000, size=n)] for n in (60, 140))
+        rows += [(3 * k, " ".join(line + rest)), (3 * k + 1, " ".join(line * (1 + k % 4) + rest)), (3 * k + 2, " ".join(line * 5 + rest[:-2]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for weight in ("count", "set"):
+        assert found_classes(minhash.near_duplicates(docs, weight=weight)) == near_classes(rows, weight=weight)
+    assert near_classes(rows) != near_classes(rows, weight="count")
+
+
 def test_near_duplicates_that_repeat_their_content(spark):
     rng = np.random.default_rng(8)
     rows = []
@@ -350,8 +389,10 @@ def test_signature_estimates_jaccard():
         n = 400
         common = rng.integers(2**63, size=int(n * share), dtype=np.uint64)
         a, b = (np.unique(np.concatenate([common, rng.integers(2**63, size=n - len(common), dtype=np.uint64)])) for _ in range(2))
-        sig = minhash.signatures([(a, np.ones(len(a))), (b, np.ones(len(b)))])
-        assert abs((sig[0] == sig[1]).mean() - minhash.jaccard(a, b)) < 0.12
+        for weights in (np.ones, lambda n: 1.0 + np.arange(n) % 4):
+            sets = [(a, weights(len(a))), (b, weights(len(b)))]
+            sig = minhash.signatures(sets)
+            assert abs((sig[0] == sig[1]).mean() - minhash.jaccard(*sets)) < 0.12
     w = np.array([3.0])
     heavy = minhash.signatures([(common[:1], w), (common[:1], w / 2)])  # weighted similarity 1/2
     assert abs((heavy[0] == heavy[1]).mean() - 0.5) < 0.15

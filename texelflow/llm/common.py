@@ -93,7 +93,9 @@ class Renamed:
     def back(self, df: DataFrame, **more: Column) -> DataFrame:
         """The table's columns under their names, those in `more` replaced or added at the end."""
         new = {n.lower() for n in more}
-        return df.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(self.names) if n.lower() not in new], *[v.alias(n) for n, v in more.items()])
+        old = {f"c{i}": n for i, n in enumerate(self.names) if n.lower() not in new}
+        # names last: an alias in the same list would hide a column of that name
+        return df.select(*old, *[v.alias(f"m{i}") for i, v in enumerate(more.values())]).toDF(*old.values(), *more)
 
 
 def hot_keys(counts: DataFrame, key: list[str], n: str, total: int) -> DataFrame:

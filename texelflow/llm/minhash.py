@@ -2,20 +2,25 @@
 
 Signatures: every shingle throws darts, a Poisson process over its weight and rank that depends only on the
 shingle's hash. Darts that land below the shingle's weight count; each belongs to one of COORDINATES coordinates,
-and the earliest dart a coordinate gets is its value. All distinct shingles of a text weigh 1, however often they
-occur, so signatures agree with the similarity that decides links. The rank axis is cut
-into widening regions; a text throws into the next one only until all its coordinates have a dart.
-
-Links: texts with the same set of shingles are one node. Nodes that agree in a band of ROWS coordinates share a
-bucket. Within buckets, pairs whose signatures don't rule it out are compared (Jaccard of their whole shingle
-sets, 40 bits a shingle, SIMILARITY or more) until the bucket's nodes are joined as far as they can be; only links that join two
-classes are written. Buckets of more than BLOCK nodes are solved in random blocks first; then those of their
-nodes that are outside the bucket's largest class are compared with all its nodes, block by block. So no link
+and the earliest dart a coordinate gets is its value, so two texts agree in a coordinate with the probability of
+their weighted Jaccard similarity. The rank axis is cut into widening regions; a text throws into the next one only
+until all its coordinates have a dart.
+
+Weights and similarity are the same measure throughout: by default every distinct shingle weighs 1 and links are
+decided by the Jaccard similarity of the sets; with weight="count" a shingle weighs as often as it occurs and links
+are decided by the sum of the lesser weights over that of the greater ones, so that a text isn't like itself twice.
+
+Links: texts with the same weighted set of shingles are one node. Nodes that agree in a band of ROWS coordinates
+share a bucket. Within buckets, pairs whose signatures don't rule it out are compared (similarity of their whole
+sets, 40 bits a shingle, SIMILARITY or more) until the bucket's nodes are joined as far as they can be; only links
+that join two classes are written. Buckets of more than BLOCK nodes are solved in random blocks first; then those of
+their nodes that are outside the bucket's largest class are compared with all its nodes, block by block. So no link
 is given up and no group meets in one task.
 
 Defined results: null and empty texts have no shingles and are copies of each other; texts of fewer than `words`
 words have one shingle; null ids are the smallest; of a class the row with the largest id stays (of fully
-repeated rows exactly one); an empty table gives an empty result; extra columns aren't read, or passed on.
+repeated rows exactly one); texts of any length are shingled whole; an empty table gives an empty result; extra
+columns aren't read by near_duplicates() and passed on by keep_one(), so they may have any name.
 """
 
 from __future__ import annotations
@@ -103,19 +108,19 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return best
 
 
-def shingle_sets(texts: list[str], size: int) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
+def shingle_sets(texts: list[str], size: int, weight: str = "set") -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
     """(first text, (sorted shingle hashes, weights) of each text) of runs of texts."""
     for first, run in grouped(texts):
         h, at = words(run, signs=False)
         out = []
         for k in range(len(run)):
-            s = np.unique(shingles(h[at[k] : at[k + 1]], size))
-            out.append((s, np.ones(len(s))))
+            s, n = np.unique(shingles(h[at[k] : at[k + 1]], size), return_counts=True)
+            out.append((s, n.astype(np.float64) if weight == "count" else np.ones(len(s))))
         yield first, out
 
 
-def sketched(docs: DataFrame, size: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, id, doc (key of id and text), same (hash of the shingle set), signature bytes, band keys."""
+def sketched(docs: DataFrame, size: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text", weight: str = "set") -> DataFrame:
+    """row, id, doc (key of id and text), same (hash of the weighted shingle set), signature bytes, band keys."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,9 +128,9 @@ def sketched(docs: DataFrame, size: int = SHINGLE_WORDS, id_col: str = "doc_id",
         powers = np.cumprod(np.full(ROWS, 0x100000001B3, np.uint64))
         for batch in batches:
             same, sig, bands = [], [], []
-            for _, sets in shingle_sets(batch.column(2).to_pylist(), size):
+            for _, sets in shingle_sets(batch.column(2).to_pylist(), size, weight):
                 best = mix(signatures(sets))
-                same += [np.array([mix(s).sum(dtype=np.uint64), mix(s + _G).sum(dtype=np.uint64), len(s)], np.uint64).tobytes() for s, _ in sets]
+                same += [np.array([mix(s * v).sum(dtype=np.uint64), mix(s + v * _G).sum(dtype=np.uint64), len(s)], np.uint64).tobytes() for s, w in sets for v in [w.astype(np.uint64)]]
                 sig += [r.tobytes() for r in (best >> np.uint64(56)).astype(np.uint8)]
                 keys = mix((best.reshape(len(sets), BANDS, ROWS) * powers).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _G)
                 bands += list(keys.view(np.int64))
@@ -137,20 +142,27 @@ def sketched(docs: DataFrame, size: int = SHINGLE_WORDS, id_col: str = "doc_id",
     return arrow_map(rows, run, f"row bigint, id {kind}, doc string, same binary, sig binary, bands array<bigint>")
 
 
-def _packed(hashes: np.ndarray) -> bytes:
-    """The upper 40 bits of sorted hashes."""
-    return (hashes >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+Weighted = tuple[np.ndarray, np.ndarray]
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").reshape(-1)
+def _packed(hashes: np.ndarray, weights: np.ndarray) -> bytes:
+    """The upper 40 bits of sorted hashes after a byte 0; or, if any weight isn't 1, after a byte 1, then the weights."""
+    short = (hashes >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return b"\0" + short if (weights == 1).all() else b"\1" + short + weights.astype("<u4").tobytes()
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
+def _unpacked(raw: bytes) -> Weighted:
+    n = (len(raw) - 1) // (9 if raw[0] else 5)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8, 5 * n, 1).reshape(-1, 5)
+    return out.view("<u8").reshape(-1), (np.frombuffer(raw[1 + 5 * n :], "<u4").astype(float) if raw[0] else np.ones(n))
+
+
+def jaccard(a: Weighted, b: Weighted) -> float:
+    """Sum of the lesser weights over that of the greater ones; of weights of 1 the Jaccard similarity of sets."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    both = np.minimum(a[1][i], b[1][j]).sum()
+    return both / max(1.0, a[1].sum() + b[1].sum() - both)
 
 
 def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -207,10 +219,10 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, block: int = BLOCK, scratch: Scratch | None = None, weight: str = "set") -> DataFrame:
     """One row for each of docs: id, doc (its row_key), class_id (the id that stays), class_size, kept."""
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
-    sketch = scratch.save(sketched(docs, size, id_col, text_col), "sketch")
+    sketch = scratch.save(sketched(docs, size, id_col, text_col, weight), "sketch")
     # texts with equal shingle sets are one node, named by its smallest row
     same = scratch.save(sketch.groupBy("same").agg(F.min("row").alias("node"), F.count("*").alias("n")), "same")
     total = sketch.count()
@@ -233,7 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fold = F.pmod(F.xxhash64("doc"), F.lit(1 << FOLD_BITS)).cast("int")
     folded = F.broadcast(wanted.select(fold.alias("fold")).distinct())  # at most 2**FOLD_BITS numbers
     texts = docs.select(row_key(id_col, text_col).alias("doc"), text_of(text_col).alias("text")).withColumn("fold", fold).join(folded, "fold").drop("fold")
-    sets = scratch.save(_sets(texts.join(wanted, "doc").select("node", "sig", "text"), size), "sets")
+    sets = scratch.save(_sets(texts.join(wanted, "doc").select("node", "sig", "text"), size, weight), "sets")
 
     def solved(rows: DataFrame, by: list[str]) -> DataFrame:
         own = scratch.save(rows.select("node").distinct(), f"nodes-{scratch.next()}")
@@ -269,10 +281,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("id", "doc", F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("bigint")).alias("class_size"), F.coalesce(F.col("best.row") == F.col("row"), F.lit(True)).alias("kept"))
 
 
-def _sets(rows: DataFrame, size: int) -> DataFrame:
+def _sets(rows: DataFrame, size: int, weight: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [_packed(s) for _, got in shingle_sets(batch.column(2).to_pylist(), size) for s, _ in got]
+            sets = [_packed(*s) for _, got in shingle_sets(batch.column(2).to_pylist(), size, weight) for s in got]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["node", "sig", "shingles"])
 
     return arrow_map(rows, run, "node bigint, sig binary, shingles binary")
