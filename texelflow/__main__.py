@@ -8,11 +8,13 @@ import sys
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators.transcode import transcode
 from .plans import catalog
+from .sources.formats import colour_space
 
 USAGE = "usage: --input FILE --output FILE --format TARGET [--image-index N] [--linear-color-space true|false] [--quality 0..10] [--threads 1..64] [--strict true|false] [--preset NAME] [--help]"
 NEEDED = ("input", "output", "format")
@@ -82,10 +84,11 @@ def main(args: Sequence[str], spark: SparkSession | None = None) -> int:
             raise OSError(rows[0]["error"] if rows else "no image")
         payload = b"".join(bytes(r["payload"]) for r in rows)
         Path(o["output"]).write_bytes(payload)
-    except OSError as e:
+    except (OSError, PySparkException) as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1
-    print(f"OK format={o['format']} width={rows[0]['width']} height={rows[0]['height']} bytes={len(payload)}")
+    space = colour_space(content) if o["linear-color-space"] else "sRGB"
+    print(f"OK format={o['format']} width={rows[0]['width']} height={rows[0]['height']} bytes={len(payload)} colorSpace={space}")
     return 0
 
 

@@ -15,7 +15,8 @@ WEIGHTS = (((1, 0, 0), (0, 1, 0), (2, 0, 0), (0, 0, 1), (1, 1, 0), (3, 0, 0)), (
 #: Weights with trits or quints: by (radix, bits) the pattern B, highest bit first, and the factor C.
 WEIGHT_SPREAD = {(3, 1): ("0000000", 50), (3, 2): ("b000b0b", 23), (3, 3): ("cb000cb", 11), (5, 1): ("0000000", 28), (5, 2): ("b0000b0", 13)}
 WEIGHT_DIGITS = {3: (0, 32, 63), 5: (0, 16, 32, 47, 63)}
-#: Where the spare bits of an HDR colour go: (modes that use it, spare bit, field, place).
+#: Fixed values of the ASTC specification (HDR end point modes 7 and 11): where the spare bits of a colour go, as (modes
+#: that use it, spare bit, field, place), and shifts and widths by mode.
 RGB_SCALE_BITS = (
     (0x30, 0, "g", 6), (0x3A, 1, "g", 5), (0x30, 2, "b", 6), (0x3A, 3, "b", 5), (0x3D, 6, "s", 5), (0x2D, 5, "s", 6), (0x04, 4, "s", 7),
     (0x3B, 4, "r", 6), (0x04, 3, "r", 6), (0x10, 5, "r", 7), (0x0F, 2, "r", 7), (0x05, 1, "r", 8), (0x0A, 0, "r", 8), (0x05, 0, "r", 9),

@@ -163,24 +163,46 @@ def colours(e: np.ndarray, s: np.ndarray, book: Codebook, width: int, height: in
     return out[:height, :width]
 
 
-def images(content: bytes, header: dict, target: str = "RGBA8") -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(image, level, width, height, payload) of a KTX2 container with this colour model."""
-    at = header["sgd_offset"]
+#: Bytes before the image descriptors of a KTX2 container's global data, and of a descriptor.
+GLOBAL, DESCRIPTOR = 20, 20
+
+
+def global_data(content: bytes, header: dict) -> tuple[int, int, list[bytes], list[tuple[int, ...]]]:
+    """(end points, selectors, their and the tables' bytes, image descriptors); a fault is a ValueError."""
+    at, room = header["sgd_offset"], header.get("sgd_length")
+    room = len(content) - at if room is None else room
+    count = header["images"] * header["levels"]
     word = lambda p, n: int.from_bytes(content[p : p + n], "little")
+    if at + room > len(content) or room < GLOBAL + DESCRIPTOR * count:
+        raise ValueError("global data are too short")
     n_end, n_sel = word(at, 2), word(at + 2, 2)
     sizes = [word(at + 4 + 4 * k, 4) for k in range(4)]
-    count = header["images"] * header["levels"]
-    parts, p = [], at + 20 + 20 * count
+    if not n_end or not n_sel or not all(sizes[:3]):
+        raise ValueError("empty palettes or tables")
+    described = [tuple(word(at + GLOBAL + DESCRIPTOR * d + 4 * k, 4) for k in range(5)) for d in range(count)]
+    if not all(d[2] for d in described):
+        raise ValueError("empty colour slice")
+    parts, p = [], at + GLOBAL + DESCRIPTOR * count
+    if p + sum(sizes) > at + room:
+        raise ValueError("palettes past the global data")
     for n in sizes[:3]:
         parts.append(content[p : p + n])
         p += n
+    return n_end, n_sel, parts, described
+
+
+def images(content: bytes, header: dict, target: str = "RGBA8") -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(image, level, width, height, payload) of a KTX2 container with this colour model."""
+    from ..sources.ktx2 import level_ranges
+
+    n_end, n_sel, parts, described = global_data(content, header)
     book = codebook(parts[0], n_end, parts[1], n_sel, parts[2])
-    for level in range(header["levels"]):
-        start = word(80 + 24 * level, 8)
+    for level, (start, size, _) in enumerate(level_ranges(content, header["levels"])):
         w, h = max(1, header["width"] >> level), max(1, header["height"] >> level)
         for image in range(header["images"]):
-            d = at + 20 + 20 * (level * header["images"] + image)
-            _, rgb, rgb_n, alpha, alpha_n = (word(d + 4 * k, 4) for k in range(5))
+            _, rgb, rgb_n, alpha, alpha_n = described[level * header["images"] + image]
+            if rgb + rgb_n > size or alpha + alpha_n > size:
+                raise ValueError("slice past its level")
             nx, ny = -(-w // 4), -(-h // 4)
             colour = blocks(content[start + rgb :][:rgb_n], book, nx, ny)
             opacity = blocks(content[start + alpha :][:alpha_n], book, nx, ny) if alpha_n else None
@@ -189,7 +211,7 @@ def images(content: bytes, header: dict, target: str = "RGBA8") -> Iterator[tupl
 
 def decoded(rows: DataFrame) -> DataFrame:
     """path, image, level, width, height, rgba, error of descriptors() rows of this format; a fault is a row's own."""
-    wanted = rows.filter("error is null and texture_format = 'ETC1S'").select("path", "content", "sgd_offset", "images", "levels", "width", "height")
+    wanted = rows.filter("error is null and texture_format = 'ETC1S'").select("path", "content", "sgd_offset", "sgd_length", "images", "levels", "width", "height")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -33,9 +33,11 @@ def overlapping_levels(levels: DataFrame) -> DataFrame:
 
 
 def concatenated(levels: DataFrame, key: str, order: str, payload: str) -> DataFrame:
-    """key, payload: an image's levels put together in order."""
-    parts = F.array_sort(F.collect_list(F.struct(order, payload)))
-    return levels.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p[payload]), "").alias(payload))
+    """key, payload: an image's levels put together in order; binary payloads byte by byte, strings as they are."""
+    parts = F.array_sort(F.collect_list(F.struct(order, payload)))  # an image's levels are few
+    if dict(levels.dtypes)[payload] != "binary":
+        return levels.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p[payload]), "").alias(payload))
+    return levels.groupBy(key).agg(F.unhex(F.array_join(F.transform(parts, lambda p: F.hex(p[payload])), "")).alias(payload))
 
 
 def running_modulo(rows: DataFrame, key: str, order: str, delta: str, modulus: int) -> DataFrame:

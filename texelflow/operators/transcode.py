@@ -58,7 +58,7 @@ def transcode(files: DataFrame, target: str, image: int | None = None) -> DataFr
     fault; images read before it stay. One image is held at a time."""
     if target not in catalog.TARGETS:
         raise ValueError(f"unknown target {target}")
-    rows = ktx2.descriptors(ktx2.headers(files)).select("path", "content", "vk_format", "scheme", "images", "width", "height", "levels", "sgd_offset", "texture_format", "error")
+    rows = ktx2.descriptors(ktx2.headers(files)).select("path", "content", "vk_format", "scheme", "images", "width", "height", "levels", "sgd_offset", "sgd_length", "texture_format", "error")
 
     def batch_of(*row: object) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, KINDS, strict=True)], list(NAMES))

@@ -41,6 +41,17 @@ def read(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content")
 
 
+#: Names of files that are taken for containers whatever their bytes.
+NAMED = ("basis", "ktx", "ktx2")
+
+
+def looks_like(path: Column, content: Column) -> Column:
+    """Whether a viewer takes a file for a container: by its name's ending, or by its first bytes."""
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    by_name = F.regexp_extract(name, r"\.(\w+)$", 1).isin(*NAMED)
+    return F.coalesce(by_name, F.lit(False)) | ((F.length(content) >= 12) & kind(content).isNotNull())
+
+
 def kind(content: Column) -> Column:
     """ktx2, basis or null by the first bytes."""
     return F.when(F.hex(F.substring(content, 1, 12)) == IDENTIFIER, "ktx2").when(F.hex(F.substring(content, 1, 2)) == "7342", "basis")
@@ -145,12 +156,45 @@ def unpacked(scheme: str, data: bytes, expected: int) -> bytes:
     raise ValueError(f"unsupported level supercompression {scheme}")
 
 
+def level_ranges(content: bytes, levels: int) -> list[tuple[int, int, int]]:
+    """(offset, length, uncompressed length) of each level; levels past the end or over each other are a ValueError."""
+    found = [tuple(int.from_bytes(content[HEADER + 24 * k + 8 * j :][:8], "little") for j in range(3)) for k in range(levels)]
+    if any(at + n > len(content) for at, n, _ in found):
+        raise ValueError("level past the end")
+    ranges = sorted((at, at + n) for at, n, _ in found if n)
+    if any(a[1] > b[0] for a, b in zip(ranges, ranges[1:], strict=False)):
+        raise ValueError("levels overlap")
+    return found
+
+
+#: Bytes of a slice's row in the global data of containers without palettes: offset, length and, in the longer one, profile.
+SLICE_ROWS = (12, 8)
+
+
+def slice_ranges(content: bytes, r: dict) -> list[tuple[int, int, int]]:
+    """(offset, length, profile) of each image and level of a descriptors() row whose global data are slice ranges."""
+    at, n, count = r["sgd_offset"], r["sgd_length"], r["images"] * r["levels"]
+    if not n:
+        if at:
+            raise ValueError("offset of empty global data")
+        return []
+    if at < HEADER or at + n > len(content):
+        raise ValueError("global data past the end")
+    size = next((s for s in SLICE_ROWS if s * count == n), None)
+    if size is None:
+        raise ValueError("global data don't match the number of images")
+    out = []
+    for k in range(at, at + n, size):
+        words = [int.from_bytes(content[p : p + 4], "little") for p in range(k, k + size, 4)]
+        if not words[1]:
+            raise ValueError("empty slice")
+        out.append((words[0], words[1], words[2] if size == 12 else 0))
+    return out
+
+
 def block_images(content: bytes, r: dict, block: tuple[int, int]) -> Iterator[tuple[int, int, int, int, bytes]]:
     """(image, level, width, height, blocks) of a descriptors() row whose levels hold 16-byte blocks of this size."""
-    for level in range(r["levels"]):
-        at, n, full = (int.from_bytes(content[HEADER + 24 * level + 8 * j :][:8], "little") for j in range(3))
-        if at + n > len(content):
-            raise ValueError("level past the end")
+    for level, (at, n, full) in enumerate(level_ranges(content, r["levels"])):
         data = unpacked(r["scheme"], content[at : at + n], full)
         w, h = max(1, r["width"] >> level), max(1, r["height"] >> level)
         size = -(-w // block[0]) * -(-h // block[1]) * 16
@@ -168,21 +212,14 @@ def plain(r: dict, image: int) -> tuple:
         return (None, None, None, "not a plain RGBA payload")
     if not 0 <= image < r["images"]:
         return (None, None, None, "image index out of range")
-    ranges, parts = [], []
+    parts = []
     try:
-        for k in range(r["levels"]):
-            at, n, full = (int.from_bytes(r["content"][HEADER + 24 * k + 8 * j :][:8], "little") for j in range(3))
-            if at + n > len(r["content"]):
-                raise ValueError("level past the end")
-            ranges.append((at, at + n))
+        for at, n, full in level_ranges(bytes(r["content"]), r["levels"]):
             data = unpacked(r["scheme"], r["content"][at : at + n], full)
             if len(data) % r["images"]:
                 raise ValueError("level cannot be divided into images")
             size = len(data) // r["images"]
             parts.append(data[image * size : (image + 1) * size])
-        ranges.sort()
-        if any(a[1] > b[0] for a, b in zip(ranges, ranges[1:], strict=False)):
-            raise ValueError("levels overlap")
     except Exception as e:  # any fault of a container's bytes belongs to its row
         return (None, None, None, str(e))
     return ("sRGB" if PLAIN[r["vk_format"]] == "SRGB" else "Linear", [len(p) for p in parts], b"".join(parts), None)
