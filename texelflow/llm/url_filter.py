@@ -76,12 +76,14 @@ def log_ratios(counted: DataFrame, scratch: Scratch) -> DataFrame:
     for order in range(ORDER + 1):  # from no context to ORDER characters of it
         event = F.substring("gram", kept - order, order + 1)
         seen = counted if order == ORDER else counted.groupBy(event.alias("gram")).agg(*[F.sum(s).alias(s) for s in SIDES])
-        context = F.substring("gram", 1, order) if order else F.lit("")
-        totals = seen.groupBy(context.alias("context")).agg(*[F.sum(s).alias(f"{s}_total") for s in SIDES], *[F.count(F.when(F.col(s) > 0, 1)).alias(f"{s}_kinds") for s in SIDES])
-        table = seen.withColumn("context", context).join(totals, "context")  # a context is met by as many rows as there are characters
-        if before is None:
-            table = table.withColumns({f"{s}_p": F.lit(1.0) / F.lit(float(max(1, alphabet))) for s in SIDES})
+        sums = [*[F.sum(s).alias(f"{s}_total") for s in SIDES], *[F.count(F.when(F.col(s) > 0, 1)).alias(f"{s}_kinds") for s in SIDES]]
+        if before is None:  # one row: no context
+            whole = seen.agg(*sums).first().asDict()
+            table = seen.withColumns({n: F.lit(v or 0) for n, v in whole.items()} | {f"{s}_p": F.lit(1.0) / F.lit(float(max(1, alphabet))) for s in SIDES})
         else:
+            context = F.substring("gram", 1, order)
+            totals = seen.groupBy(context.alias("context")).agg(*sums)
+            table = seen.withColumn("context", context).join(totals, "context")  # a context is met by as many rows as there are characters
             table = table.withColumn("event", F.substring("gram", 2, order)).join(before, "event")
         p = {s: F.when(F.col(f"{s}_total") > 0, (F.col(s) + F.col(f"{s}_kinds") * F.col(f"{s}_p")) / (F.col(f"{s}_total") + F.col(f"{s}_kinds"))).otherwise(F.col(f"{s}_p")) for s in SIDES}
         if order == ORDER:
