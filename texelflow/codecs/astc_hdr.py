@@ -391,6 +391,14 @@ def _texels(blocks: np.ndarray, block: tuple[int, int], words: bool) -> np.ndarr
     return out
 
 
+def unorm8(blocks: np.ndarray, block: tuple[int, int]) -> np.ndarray:
+    """(n, texels, 4) bytes of LDR blocks: the upper eight of sixteen bits."""
+    half = _texels(blocks, block, False)
+    exact = half.astype(np.uint16).view(np.float16).astype(np.float64)
+    # halves of 16-bit values were cut to 11 bits; the upper eight are still there
+    return np.where(exact >= 1, 255, np.floor(exact * 256)).astype(int)
+
+
 #: Blocks decoded at a time.
 CHUNK = 4096
 TARGETS = ("RGB_HALF", "RGBA_HALF", "RGB_9E5")

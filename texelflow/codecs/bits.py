@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 
 class Bits:
     def __init__(self, data: bytes):
@@ -119,6 +121,37 @@ class MoveToFront:
         return value
 
 
+def hsieh(data: bytes) -> int:
+    """Paul Hsieh's SuperFastHash as the format's tools use it: seeded with the length; empty data hash to 0."""
+    if not data:
+        return 0
+    m, n = 0xFFFFFFFF, len(data)
+    h, whole = n & m, n & ~3
+    for low, high in struct.iter_unpack("<2H", data[:whole]):
+        h = (h + low) & m
+        h = (h << 16) & m ^ (high << 11) & m ^ h
+        h = (h + (h >> 11)) & m
+    tail = data[whole:]
+    signed = int.from_bytes(tail[-1:], "little", signed=True)
+    if len(tail) == 1:
+        h = (h + signed) & m
+        h ^= h << 10 & m
+        h = (h + (h >> 1)) & m
+    elif tail:
+        h = (h + int.from_bytes(tail[:2], "little")) & m
+        if len(tail) == 2:
+            h ^= h << 11 & m
+            h = (h + (h >> 17)) & m
+        else:
+            h ^= h << 16 & m
+            h ^= signed << 18 & m
+            h = (h + (h >> 11)) & m
+    for left, right in ((3, 5), (4, 17), (25, 6)):  # spread the last bits
+        h ^= h << left & m
+        h = (h + (h >> right)) & m
+    return h
+
+
 def crc16(data: bytes, crc: int = 0) -> int:
     """CRC-16 with complement before and after."""
     crc = ~crc & 0xFFFF

@@ -63,6 +63,19 @@ def half_to_double(h: Column) -> Column:
     return sign * value
 
 
+def half_of(v: Column, cut: bool = False) -> Column:
+    """16 bits of the half float next to a float: halves go up, or all is cut. Beyond range: infinity; NaN: a NaN."""
+    a = F.abs(v).cast("double")
+    near = F.floor(F.log2(a))
+    two = lambda e: F.pow(F.lit(2.0), e)
+    e = F.when(two(near) > a, near - 1).when(two(near + 1) <= a, near + 1).otherwise(near)  # the logarithm is rounded
+    small = e < -14
+    scaled = F.when(small, a * 2.0**24).otherwise((a / two(e) - 1) * 1024)
+    mantissa = F.floor(scaled if cut else scaled + 0.5).cast("bigint")  # 1024 carries into the exponent
+    code = F.when(F.isnan(v), 0x7C01).when(a == 0, 0).when(e > 15, 0x7C00).otherwise(F.when(small, 0).otherwise((e + 15) * 1024) + mantissa)
+    return (F.when(v < 0, 0x8000).otherwise(0) + code).cast("bigint")
+
+
 def rgb9e5_channel(word: Column, at: int) -> Column:
     """Value of the 9-bit mantissa at bit `at` under the shared exponent."""
     return bits(word, at, 9) * F.pow(F.lit(2.0), bits(word, 27, 5) - 24)

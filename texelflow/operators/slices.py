@@ -56,6 +56,11 @@ def runs_expanded(runs: DataFrame, key: str, length: str, value: str) -> DataFra
     return runs.select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(length) - 1)).alias("place"), value)
 
 
+def displayable(images: DataFrame, failed: DataFrame) -> DataFrame:
+    """Images (image, ...) without those that `failed` (image) lists."""
+    return images.join(failed.select("image").distinct(), "image", "left_anti")
+
+
 def deepest_root(files: DataFrame, roots: DataFrame) -> DataFrame:
     """path, relative: the path below the deepest root that holds it. A path is joined on its own few ancestors."""
     parts = F.split("path", "/")

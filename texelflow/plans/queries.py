@@ -5,8 +5,6 @@ are whole-number arithmetic on keys. The SQL says the same by joining and groupi
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,23 +12,8 @@ from ..functions import pixels as P
 from ..operators import blocks as B
 from ..operators import deblock, geometry, slices
 from . import catalog
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+from .registry import ORACLES, QUERIES, query, table
+from .registry import le as _le
 
 
 def images(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,11 +114,12 @@ def block_covariance(spark, sf):
     return B.blocks(images(spark, sf), 8, 8).select("vec_id", "block_x", "block_y", B.covariance_sums("r", "g").alias("rg"), B.covariance_sums("g", "b").alias("gb"), B.covariance_sums("r", "r").alias("rr"), B.total(B.channel("r")).alias("r_sum"))
 
 
-@query(f"WITH {PX} SELECT {BLK}, min(r // 64) = max(r // 64) AS solid, min(a) = 255 AS opaque FROM px GROUP BY ALL")
+@query(f"WITH {PX} SELECT {BLK}, min((r + 64) // 128) = max((r + 64) // 128) AS solid, min(CASE WHEN r < 50 THEN 250 ELSE 255 END) = 255 AS opaque FROM px GROUP BY ALL")
 def solid_block_test(spark, sf):
     """Predicate F8."""
-    coarse = F.transform("px", lambda p: P.div(p["r"], 64))
-    return B.blocks(images(spark, sf), 8, 8).select("vec_id", "block_x", "block_y", (F.array_min(coarse) == F.array_max(coarse)).alias("solid"), (F.array_min(B.channel("a")) == 255).alias("opaque"))
+    coarse = F.transform("px", lambda p: P.div(p["r"] + 64, 128))
+    alpha = F.transform("px", lambda p: F.when(p["r"] < 50, 250).otherwise(255))
+    return B.blocks(images(spark, sf), 8, 8).select("vec_id", "block_x", "block_y", (F.array_min(coarse) == F.array_max(coarse)).alias("solid"), (F.array_min(alpha) == 255).alias("opaque"))
 
 
 def _deblock_sql(strong: bool) -> str:
@@ -179,29 +163,28 @@ def etc1s_palette_decode(spark, sf):
     return joined.select("o_orderkey", "endpoint", "selector", *[F.when(F.col("inten").isNotNull(), P.etc1_colour(F.col(f"{c}5"), F.col("inten"), F.col("selector"))).alias(c) for c in "rgb"])
 
 
-def _order_slices(spark, sf):
-    k = F.col("o_orderkey")
-    return table(spark, sf, "orders").filter(k % 11 != 0).select(F.floor(k / 4).alias("image"), (k % 2).alias("level"), (k % 4 >= 2).alias("is_alpha"), (64 + F.when(k % 13 == 0, 4).otherwise(0)).cast("bigint").alias("width"))
-
-
-@query("""WITH s AS (SELECT o_orderkey // 4 AS image, o_orderkey % 2 AS level, o_orderkey % 4 >= 2 AS is_alpha, (64 + CASE WHEN o_orderkey % 13 = 0 THEN 4 ELSE 0 END)::BIGINT AS width FROM orders WHERE o_orderkey % 11 <> 0)
-SELECT c.image, c.level, c.width, CASE WHEN a.image IS NULL THEN 'missing' WHEN a.width <> c.width THEN 'mismatch' ELSE 'ok' END AS alpha_state FROM s c LEFT JOIN s a ON a.image = c.image AND a.level = c.level AND a.is_alpha WHERE NOT c.is_alpha""")
+@query("""WITH c AS (SELECT o_orderkey AS image, o_orderkey % 3 AS level, 64 + 4 * (o_orderkey % 13 = 0)::BIGINT AS width FROM orders), a AS (SELECT c_custkey * 7 AS image, c_custkey * 7 % 3 AS level, 64 + 4 * (c_custkey % 5 = 0)::BIGINT AS width FROM customer)
+SELECT c.image, c.level, c.width, CASE WHEN a.image IS NULL THEN 'missing' WHEN a.width <> c.width THEN 'mismatch' ELSE 'ok' END AS alpha_state FROM c LEFT JOIN a ON a.image = c.image AND a.level = c.level""")
 def alpha_slice_merge(spark, sf):
-    """Join J1, filters F5 and F6."""
-    return slices.alpha_merged(_order_slices(spark, sf))
+    """Join J1, filters F5 and F6: a colour slice an order, an alpha slice a customer."""
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    wide = lambda yes: (64 + 4 * yes.cast("bigint")).alias("width")
+    colour = table(spark, sf, "orders").select(k.alias("image"), (k % 3).alias("level"), F.lit(False).alias("is_alpha"), wide(k % 13 == 0))
+    alpha = table(spark, sf, "customer").select((c * 7).alias("image"), (c * 7 % 3).alias("level"), F.lit(True).alias("is_alpha"), wide(c % 5 == 0))
+    return slices.alpha_merged(colour.unionByName(alpha))
 
 
 def _event_slices(spark, sf):
-    return table(spark, sf, "events").select(F.col("user_id").alias("image"), (F.col("event_id") % 9).alias("level"))
+    return table(spark, sf, "events").select(F.col("user_id").alias("image"), (F.col("event_id") * 7 % 61).alias("level"))
 
 
-@query("SELECT user_id AS image, event_id % 9 AS level, count(*) AS copies FROM events GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT user_id AS image, event_id * 7 % 61 AS level, count(*) AS copies FROM events GROUP BY ALL HAVING count(*) > 1")
 def slice_duplicates(spark, sf):
     """Aggregate A10."""
     return slices.duplicate_levels(_event_slices(spark, sf))
 
 
-@query("""WITH s AS (SELECT DISTINCT user_id AS image, event_id % 9 AS level FROM events), w AS (SELECT image, unnest(generate_series(0, max(level))) AS level FROM s GROUP BY image)
+@query("""WITH s AS (SELECT DISTINCT user_id AS image, event_id * 7 % 61 AS level FROM events), w AS (SELECT image, unnest(generate_series(0, max(level))) AS level FROM s GROUP BY image)
 SELECT image, level FROM w ANTI JOIN s USING (image, level)""")
 def slice_missing_levels(spark, sf):
     """Aggregates A9 and A10."""
@@ -259,14 +242,15 @@ def weight_dequant(spark, sf):
     return geometry.dequantised_weights(spark)
 
 
-@query(f"""WITH {PX}, g AS (SELECT vec_id, x, y, r % 65 AS w FROM px WHERE x < 4 AND y < 4), d AS (SELECT unnest(generate_series(0, 47)) AS n), t AS (SELECT n % 8 AS x, n // 8 AS y, ((n % 8) * {(1024 + 4) // 7 * 3} + 32) >> 6 AS gx, ((n // 8) * {(1024 + 3) // 5 * 3} + 32) >> 6 AS gy FROM d)
+@query(f"""WITH {PX}, g AS (SELECT {BLK}, x % 4 AS x, y % 4 AS y, r % 65 AS w FROM px), d AS (SELECT unnest(generate_series(0, 47)) AS n), t AS (SELECT n % 8 AS x, n // 8 AS y, ((n % 8) * {(1024 + 4) // 7 * 3} + 32) >> 6 AS gx, ((n // 8) * {(1024 + 3) // 5 * 3} + 32) >> 6 AS gy FROM d)
 , f AS (SELECT *, gx & 15 AS fx, gy & 15 AS fy, ((gx & 15) * (gy & 15) + 8) >> 4 AS share FROM t)
-SELECT vec_id, f.x, f.y, (sum(g.w * CASE WHEN g.x = gx >> 4 AND g.y = gy >> 4 THEN 16 - fx - fy + share WHEN g.y = gy >> 4 THEN fx - share WHEN g.x = gx >> 4 THEN fy - share ELSE share END) + 8)::BIGINT >> 4 AS weight
-FROM f JOIN g ON g.x BETWEEN gx >> 4 AND (gx >> 4) + 1 AND g.y BETWEEN gy >> 4 AND (gy >> 4) + 1 GROUP BY vec_id, f.x, f.y""")
+SELECT vec_id, block_x, block_y, f.x, f.y, (sum(g.w * CASE WHEN g.x = gx >> 4 AND g.y = gy >> 4 THEN 16 - fx - fy + share WHEN g.y = gy >> 4 THEN fx - share WHEN g.x = gx >> 4 THEN fy - share ELSE share END) + 8)::BIGINT >> 4 AS weight
+FROM f JOIN g ON g.x BETWEEN gx >> 4 AND (gx >> 4) + 1 AND g.y BETWEEN gy >> 4 AND (gy >> 4) + 1 GROUP BY vec_id, block_x, block_y, f.x, f.y""")
 def weight_upsample(spark, sf):
-    """Window W6: a 4 x 4 grid spread over an 8 x 6 block."""
-    corner = B.blocks(images(spark, sf), 8, 8).filter("block_x = 0 and block_y = 0").select("vec_id", F.transform("px", lambda p: p["r"] % 65).alias("w"))
-    return geometry.upsampled(corner, 4, 4, 8, 6, ("vec_id",))
+    """Window W6: each 4 x 4 grid spread over an 8 x 6 block."""
+    key = ("vec_id", "block_x", "block_y")
+    grids = B.blocks(images(spark, sf), 8, 8).select(*key, F.transform("px", lambda p: p["r"] % 65).alias("w"))
+    return geometry.upsampled(grids, 4, 4, 8, 6, key)
 
 
 def _partition_sql() -> str:
@@ -380,11 +364,6 @@ def slice_totals(spark, sf):
     return rows.groupBy("image").agg(F.max("level").alias("top"), F.count("*").alias("slices"), F.sum("bytes").alias("bytes"))
 
 
-def _le(x, size: int):
-    """Hex of a number's bytes, lowest first."""
-    return F.concat(*[F.lpad(F.hex(F.shiftright(x.cast("bigint"), 8 * k).bitwiseAND(255)), 2, "0") for k in range(size)])
-
-
 @query("""WITH p AS (SELECT p_partkey AS k, p_partkey * 131 % 17000 AS width, 1 + p_partkey * 7 % 900 AS height, CASE WHEN p_partkey % 17 = 0 THEN 1 ELSE 0 END AS depth, p_partkey % 7 AS faces, p_partkey % 19 AS levels, p_partkey * 5 % 7 AS scheme FROM part)
 SELECT k AS p_partkey, width, height, levels, CASE scheme WHEN 0 THEN 'NONE' WHEN 1 THEN 'BASISLZ' WHEN 2 THEN 'ZSTANDARD' WHEN 3 THEN 'DEFLATE' WHEN 4 THEN 'UASTC_HDR_6X6I' WHEN 5 THEN 'XUASTC_LDR' END AS scheme, faces AS images,
 CASE WHEN width = 0 THEN 'invalid size' WHEN width > 16384 THEN 'size above the limit' WHEN depth <> 0 THEN 'only two dimensions are supported' WHEN faces < 1 THEN 'invalid face count' WHEN levels = 0 THEN 'no mip levels' WHEN levels > 16 THEN 'too many mip levels' WHEN scheme > 5 THEN 'unknown supercompression' END AS error FROM p""")
@@ -420,3 +399,6 @@ def uastc_solid_blocks(spark, sf):
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(t[:, 0, c].astype(np.int64)) for c in range(4)), pa.array(same.astype(np.int32))], ["event_id", "r", "g", "b", "a", "texels"])
 
     return rows.mapInArrow(run, "event_id bigint, r bigint, g bigint, b bigint, a bigint, texels int")
+
+
+from . import container_queries  # noqa: E402, F401  registers its queries

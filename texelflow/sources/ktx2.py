@@ -128,6 +128,24 @@ def key_values(content: bytes, offset: int, length: int) -> list[tuple[str, byte
     return out
 
 
+def key_value_rows(rows: DataFrame) -> DataFrame:
+    """path, place, key, value, error of each entry of headers() rows; malformed data are one row with the fault."""
+    wanted = rows.filter("error is null").select("path", "content", "kvd_offset", "kvd_length")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for path, content, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    out += [(path, k, key, value, None) for k, (key, value) in enumerate(key_values(content, at, n))]
+                except ValueError as e:
+                    out.append((path, None, None, None, str(e)))
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["path", "place", "key", "value", "error"])
+
+    return wanted.mapInArrow(run, "path string, place int, key string, value binary, error string")
+
+
 def inflate(data: bytes, expected: int) -> bytes:
     """Deflate with a zlib wrapper, else raw; never more than `expected` bytes."""
     for mode in (15, -15):
