@@ -131,8 +131,11 @@ def hdr_image(data: bytes, width: int, height: int, source: str, target: str) ->
         raise ValueError("block data size mismatch")
     if target == own:
         return data
-    from . import astc_hdr
+    from . import astc_hdr, bc6h
 
+    if target == "BC6H":
+        rgb = np.frombuffer(astc_hdr.image(data, width, height, (w, h), "RGB_HALF"), "<u2").reshape(height, width, 3)
+        return bc6h.image(rgb)
     if target not in astc_hdr.TARGETS:
         raise ValueError(f"no way to {target} from {source}")
     return astc_hdr.image(data, width, height, (w, h), target)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..codecs import astc, astc_hdr, etc1s, packers, uastc
 from ..plans import catalog
@@ -19,7 +20,7 @@ FAULTS = (ValueError, IndexError, StopIteration, RuntimeError, ZeroDivisionError
 
 
 #: Targets that have a way from each source.
-MADE = {"ETC1S": packers.PACKED, "UASTC_LDR_4x4": (*packers.PACKED, "ASTC_LDR_4X4")} | {name: (target, *astc_hdr.TARGETS) for name, (_, target) in astc.HDR.items()}
+MADE = {"ETC1S": packers.PACKED, "UASTC_LDR_4x4": (*packers.PACKED, "ASTC_LDR_4X4")} | {name: (target, "BC6H", *astc_hdr.TARGETS) for name, (_, target) in astc.HDR.items()}
 READERS = {"ETC1S": etc1s.images, "UASTC_LDR_4x4": uastc.images} | dict.fromkeys(astc.HDR, astc.hdr_images)
 
 
@@ -58,7 +59,13 @@ def transcode(files: DataFrame, target: str, image: int | None = None) -> DataFr
     fault; images read before it stay. One image is held at a time."""
     if target not in catalog.TARGETS:
         raise ValueError(f"unknown target {target}")
-    rows = ktx2.descriptors(ktx2.headers(files)).select("path", "content", "vk_format", "scheme", "images", "width", "height", "levels", "sgd_offset", "sgd_length", "texture_format", "error")
+    return transcode_each(files, F.array(F.lit(target)), image)
+
+
+def transcode_each(files: DataFrame, targets: Column, image: int | None = None) -> DataFrame:
+    """OUT rows of files (path, content, ...) in each of their own targets, an array; a file is parsed once."""
+    files = files.select("path", "content", targets.alias("targets"))
+    rows = ktx2.descriptors(ktx2.headers(files)).select("path", "content", "vk_format", "scheme", "images", "width", "height", "levels", "sgd_offset", "sgd_length", "texture_format", "error", "targets")
 
     def batch_of(*row: object) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, KINDS, strict=True)], list(NAMES))
@@ -67,10 +74,11 @@ def transcode(files: DataFrame, target: str, image: int | None = None) -> DataFr
         for batch in batches:
             for k in range(batch.num_rows):
                 r = batch.slice(k, 1).to_pylist()[0]
-                try:
-                    for *place, payload in images(r, target, image):
-                        yield batch_of(r["path"], *place, target, payload, None)
-                except FAULTS as e:
-                    yield batch_of(r["path"], None, None, None, None, target, None, str(e) or "malformed")
+                for target in r["targets"] or ():
+                    try:
+                        for *place, payload in images(r, target, image):
+                            yield batch_of(r["path"], *place, target, payload, None)
+                    except FAULTS as e:
+                        yield batch_of(r["path"], None, None, None, None, target, None, str(e) or "malformed")
 
     return rows.mapInArrow(run, OUT)

@@ -1,4 +1,4 @@
-"""Formats, targets and which source can become which target."""
+"""Formats, targets and flags by name."""
 
 from __future__ import annotations
 
@@ -10,25 +10,3 @@ HDR = ("BC6H", "RGB_HALF", "RGBA_HALF", "RGB_9E5")
 TARGETS = ("ASTC_HDR_4X4", "ASTC_HDR_6X6", *(f"ASTC_LDR_{s.upper()}" for s in XUASTC_SIZES), *HDR, *BLOCKS, *PIXELS)
 #: name, bit
 DECODE_FLAGS = (("pvrtc_next_pow2", 2), ("alpha_to_opaque", 4), ("bc1_no_three_colours", 8), ("alpha_indices", 16), ("high_quality", 32), ("no_etc1s_chroma_filter", 64), ("no_deblock", 128), ("stronger_deblock", 256), ("force_deblock", 512), ("no_fast_bc7", 1024))
-
-
-def sources() -> list[tuple[str, str]]:
-    """(format, container) pairs that have a decoder."""
-    both = ["ETC1S", "UASTC_LDR_4x4", "UASTC_HDR_4x4", "ASTC_HDR_6x6", "UASTC_HDR_6x6I"]
-    return [(f, c) for f in both for c in ("ktx2", "basis")] + [(f"XUASTC_LDR_{s}", "ktx2") for s in XUASTC_SIZES] + [("PLAIN", "ktx2")]
-
-
-def targets(source: str) -> tuple[str, ...]:
-    if source == "PLAIN":
-        return ("RGBA8",)
-    if source == "ETC1S":
-        return PIXELS + BLOCKS
-    if source == "UASTC_LDR_4x4":
-        return PIXELS + BLOCKS + ("ASTC_LDR_4X4",)
-    if source.startswith("XUASTC"):
-        return PIXELS + BLOCKS + (f"ASTC_LDR_{source.rpartition('_')[2].upper()}",)
-    return (f"ASTC_HDR_{'4X4' if source == 'UASTC_HDR_4x4' else '6X6'}",) + HDR
-
-
-def supported() -> list[tuple[str, str, str]]:
-    return [(f, c, t) for f, c in sources() for t in targets(f)]

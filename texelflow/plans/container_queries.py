@@ -16,7 +16,7 @@ from ..codecs import bits, uastc
 from ..operators import encode, slices, transcode
 from ..sources import basis, formats, ktx2
 from ..streaming import video
-from . import written
+from . import catalog, written
 from .registry import laid_out, le, query, table
 
 #: Hex of n bytes (k * 3 + i) % 256 from i on, in SQL and as a Column.
@@ -408,6 +408,142 @@ def basis_video_texels(spark, sf):
     return _mapped(transcode.transcode(files, "RGBA8").select("path", "image", "payload"), texels, "video bigint, frame bigint, x bigint, y bigint, red int")
 
 
+def _samples() -> list[tuple[str, str, bytes]]:
+    """(source, kind of container, file) of one small image each."""
+    solid = written.BitWriter()
+    for v, n in ((0x17, 5), (9, 8), (8, 8), (7, 8), (6, 8)):
+        solid.put(v, n)
+    solid = solid.done().ljust(16, b"\0")
+    void = bytes.fromhex("FCFFFFFFFFFFFFFF003C003C003C003C")  # one HDR colour, which any block size has
+    one = np.zeros((1, 1), int)
+    book = written.Etc1sWriter([(1, 2, 3, 4), (5, 6, 7, 0)], np.zeros((2, 16), int))
+    stream = book.stream(one, one)
+    m = written.MODEL
+    head = written.BitWriter()
+    for v, n in ((1, 5), (0, 4), (0, 1), (4, 16), (4, 16), (0, 1), (0, 1)):
+        head.put(v, n)
+    raw = head.done()
+    xuastc = b"\2" + np.array([len(raw)] + [0] * 20, "<u4").tobytes() + raw
+    return [
+        ("PLAIN", "ktx2", written.ktx2_file([bytes(64)], 4, 4, vk=37)),
+        ("ETC1S", "ktx2", written.etc1s_ktx2(book, stream, b"", 4, 4)),
+        ("ETC1S", "basis", written.basis_file([(0, 0, 0, 4, 4, stream)], 0, book=book)),
+        ("UASTC_LDR_4x4", "ktx2", written.ktx2_file([solid], 4, 4, m["UASTC_LDR_4x4"])),
+        ("UASTC_LDR_4x4", "basis", written.basis_file([(0, 0, 0, 4, 4, solid)], 1)),
+        ("UASTC_HDR_4x4", "ktx2", written.ktx2_file([void], 4, 4, m["UASTC_HDR_4x4"])),
+        ("UASTC_HDR_4x4", "basis", written.basis_file([(0, 0, 0, 4, 4, void)], 2)),
+        ("ASTC_HDR_6x6", "ktx2", written.ktx2_file([void], 6, 6, m["ASTC"], (6, 6), vk=1000066004)),
+        ("ASTC_HDR_6x6", "basis", written.basis_file([(0, 0, 0, 6, 6, void)], 3)),
+        ("UASTC_HDR_6x6I", "ktx2", written.ktx2_file([bytes(16)], 6, 6, m["UASTC_HDR_6x6I"], (6, 6), scheme=4)),
+        ("XUASTC_LDR_4x4", "ktx2", written.ktx2_file([xuastc], 4, 4, m["XUASTC_LDR"], scheme=5)),
+        ("XUASTC_LDR_4x4", "basis", written.basis_file([(0, 0, 0, 4, 4, xuastc)], 5)),
+        ("ASTC_LDR_4x4", "ktx2", written.ktx2_file([void], 4, 4, m["ASTC"], vk=157)),
+    ]
+
+
+@query("""WITH t AS (SELECT unnest(['RGBA8', 'RGB565', 'BGR565', 'RGBA4444', 'ETC1', 'ETC2', 'ETC2_NO_ALPHA', 'ETC2_EAC_R11', 'ETC2_EAC_RG11', 'BC1', 'BC3', 'BC4', 'BC5', 'BC7', 'BC6H', 'RGB_HALF', 'RGBA_HALF', 'RGB_9E5', 'ASTC_HDR_4X4', 'ASTC_HDR_6X6', 'ASTC_LDR_4X4', 'ASTC_LDR_5X4', 'ASTC_LDR_5X5', 'ASTC_LDR_6X5', 'ASTC_LDR_6X6', 'ASTC_LDR_8X5', 'ASTC_LDR_8X6', 'ASTC_LDR_10X5', 'ASTC_LDR_10X6', 'ASTC_LDR_8X8', 'ASTC_LDR_10X8', 'ASTC_LDR_10X10', 'ASTC_LDR_12X10', 'ASTC_LDR_12X12']) AS target)
+, k AS (SELECT *, target IN ('BC6H', 'RGB_HALF', 'RGBA_HALF', 'RGB_9E5') AS hdr, starts_with(target, 'ASTC') AS astc FROM t)
+, s(source, containers) AS (VALUES ('PLAIN', ['ktx2']), ('ETC1S', ['ktx2', 'basis']), ('UASTC_LDR_4x4', ['ktx2', 'basis']), ('UASTC_HDR_4x4', ['ktx2', 'basis']), ('ASTC_HDR_6x6', ['ktx2', 'basis']), ('UASTC_HDR_6x6I', ['ktx2']), ('XUASTC_LDR_4x4', ['ktx2', 'basis']), ('ASTC_LDR_4x4', ['ktx2']))
+SELECT source, unnest(containers) AS container, target, CASE source WHEN 'PLAIN' THEN target = 'RGBA8' WHEN 'ETC1S' THEN NOT hdr AND NOT astc WHEN 'UASTC_LDR_4x4' THEN NOT hdr AND NOT astc OR target = 'ASTC_LDR_4X4' WHEN 'UASTC_HDR_4x4' THEN hdr OR target = 'ASTC_HDR_4X4' WHEN 'ASTC_HDR_6x6' THEN hdr OR target = 'ASTC_HDR_6X6' ELSE false END AS supported FROM s, k""")
+def dispatch_matrix(spark, sf):
+    """Section 2.2 and generator G3: a file of every source in every target. What comes out has a payload, or a fault."""
+    files = spark.createDataFrame([(f"{s}/{c}", bytearray(f)) for s, c, f in _samples()], "path string, content binary").repartition(4)
+    out = transcode.transcode_each(files, F.array(*[F.lit(t) for t in catalog.TARGETS]))
+    parts = F.split("path", "/")
+    return out.groupBy(parts[0].alias("source"), parts[1].alias("container"), "target").agg(F.bool_and(F.col("error").isNull() & (F.length("payload") > 0)).alias("supported"))
+
+
+@query("""SELECT p_partkey, image, CASE WHEN image < 1 + p_partkey % 3 THEN (image * 50 + p_partkey) % 256 END AS red, CASE WHEN image >= 1 + p_partkey % 3 THEN 'image index out of range' END AS error FROM part, (SELECT unnest([0, 1, 2]) AS image)""")
+def image_index(spark, sf):
+    """Filter F4: one image of array textures, by its index."""
+
+    def write(key):
+        out = []
+        for p in key:
+            blocks = []
+            for i in range(1 + p % 3):
+                w = written.BitWriter()
+                for v, n in ((0x17, 5), ((i * 50 + p) % 256, 8), (0, 8), (0, 8), (0, 8)):
+                    w.put(v, n)
+                blocks.append(w.done().ljust(16, b"\0"))
+            out.append((str(p), written.ktx2_file([b"".join(blocks)], 4, 4, written.MODEL["UASTC_LDR_4x4"], layers=len(blocks))))
+        return out
+
+    files = _mapped(table(spark, sf, "part").select("p_partkey"), write, "path string, content binary")
+    rows = None
+    for i in range(3):
+        one = transcode.transcode(files, "RGBA8", i).select(F.col("path").cast("bigint").alias("p_partkey"), F.lit(i).alias("image"), F.conv(F.hex(F.substring("payload", 1, 1)), 16, 10).cast("bigint").alias("red"), "error")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@query("SELECT p_partkey, ['FULL_ARITH', 'HYBRID_ARITH_ZSTD', 'FULL_ZSTD'][1 + p_partkey % 3] AS syntax, [4, 5, 5, 6, 6, 8, 8, 10, 10, 8, 10, 10, 12, 12][1 + p_partkey % 14] || 'x' || [4, 4, 5, 5, 6, 5, 6, 5, 6, 8, 8, 10, 10, 12][1 + p_partkey % 14] AS block, 1 + p_partkey * 3 % 4000 AS width, 1 + p_partkey % 900 AS height, p_partkey % 2 = 1 AS srgb, p_partkey % 5 = 0 AS alpha, CASE WHEN p_partkey % 4 = 0 THEN (1 + p_partkey % 200) / 2.0 END::DOUBLE AS quality, CASE WHEN p_partkey % 3 = 1 THEN 'HYBRID_ARITH_ZSTD blocks are not supported' ELSE 'XUASTC blocks are not decoded here' END AS error FROM part")
+def xuastc_headers(spark, sf):
+    """Codecs B12 to B15 and B17: payload syntaxes and image headers, arithmetically coded or in bits."""
+    from ..codecs import xuastc
+
+    def run(key):
+        out = []
+        for p in key:
+            fields = [(1, 5), (p % 14, 4), (p % 2, 1), (1 + p * 3 % 4000, 16), (1 + p % 900, 16), (int(p % 5 == 0), 1), (int(p % 4 == 0), 1)] + [(1 + p % 200, 8)] * (p % 4 == 0)
+            w, e = written.BitWriter(), xuastc.Encoder()
+            for v, n in fields:
+                w.put(v, n)
+                e.bits(v, n)
+            plain, coded = w.done(), e.done()
+            lengths = lambda first, n: np.array([first] + [0] * (n - 1), "<u4").tobytes()
+            data = [b"\0" + coded, b"\1" + lengths(len(coded), 11) + coded, b"\2" + lengths(len(plain), 21) + plain][p % 3]
+            h = xuastc.header(data)
+            try:
+                xuastc.blocks(data)
+            except ValueError as fault:
+                out.append((p, h.syntax, f"{h.block[0]}x{h.block[1]}", h.width, h.height, h.srgb, h.alpha, h.quality, str(fault)))
+        return out
+
+    return _mapped(table(spark, sf, "part").select("p_partkey"), run, "p_partkey bigint, syntax string, block string, width bigint, height bigint, srgb boolean, alpha boolean, quality double, error string")
+
+
+@query("SELECT user_id, count(*) AS symbols, sum(event_id * event_id % 40)::BIGINT AS total, sum(event_id % 3 = 0)::BIGINT AS bits, sum(1 + event_id % 900)::BIGINT AS gammas, max(event_id % 17) AS most FROM events GROUP BY user_id")
+def arithmetic_streams(spark, sf):
+    """Codec B15, aggregate A14: a stream a user of symbols, bits and gamma codes under adaptive models, read back."""
+    from ..codecs import xuastc
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = sorted(pdf["event_id"].tolist())
+        models = lambda: (xuastc.SymbolModel(40), xuastc.BitModel(), xuastc.GammaModel())
+        e, (s, b, g) = xuastc.Encoder(), models()
+        for k in keys:
+            e.symbol(k * k % 40, s)
+            e.bit(k % 3 == 0, b)
+            e.gamma(1 + k % 900, g)
+            e.truncated(k % 17, 17)
+        d, (s, b, g) = xuastc.Decoder(e.done()), models()
+        got = [(d.symbol(s), d.bit(b), d.gamma(g), d.truncated(17)) for _ in keys]
+        sums = [sum(x) for x in zip(*got, strict=True)]
+        return pd.DataFrame([(pdf["user_id"].iloc[0], len(keys), *sums[:3], max(x[3] for x in got))], columns=["user_id", "symbols", "total", "bits", "gammas", "most"])
+
+    return table(spark, sf, "events").select("user_id", "event_id").groupBy("user_id").applyInPandas(run, "user_id bigint, symbols bigint, total bigint, bits bigint, gammas bigint, most bigint")
+
+
+@query("SELECT event_id, true AS red, true AS green, true AS blue FROM events")
+def bc6h_blocks(spark, sf):
+    """Codecs B26 and B27: HDR blocks of one colour become BC6H within a step of ten bits."""
+    from ..codecs import astc, bc6h
+
+    def run(key):
+        h = np.array([[k * 7 % 0x7BFF, k * 131 % 0x7BFF, k * 17 % 0x7BFF] for k in key])
+        out = []
+        for k, want in zip(key, h, strict=True):
+            size, name = ((4, "UASTC_HDR_4x4"), (6, "ASTC_HDR_6x6"))[k % 2]
+            void = bytes.fromhex("FCFFFFFFFFFFFFFF") + np.array([*want, 0x3C00], "<u2").tobytes()
+            got = bc6h.texels(np.frombuffer(astc.hdr_image(void, size, size, name, "BC6H"), np.uint8).reshape(-1, 16))
+            near = (np.abs(got - want) <= 32).all((0, 1))
+            out.append((k, *map(bool, near)))
+        return out
+
+    return _mapped(table(spark, sf, "events").select("event_id"), run, "event_id bigint, red boolean, green boolean, blue boolean")
+
+
 # ---- other operators
 
 

@@ -305,15 +305,6 @@ def level_concat_order(spark, sf):
     return slices.concatenated(rows, "image", "level", "payload")
 
 
-@query("WITH s(source, container, target) AS (VALUES " + ", ".join(str(x) for x in catalog.supported()) + "), f AS (SELECT DISTINCT source, container FROM s), t(target) AS (VALUES " + ", ".join(f"('{t}')" for t in catalog.TARGETS) + ") SELECT f.source, f.container, t.target, s.target IS NOT NULL AS supported FROM f CROSS JOIN t LEFT JOIN s USING (source, container, target)")
-def dispatch_matrix(spark, sf):
-    """Section 2.2 and generator G3: every source against every target."""
-    known = spark.createDataFrame(catalog.supported(), "source string, container string, target string").withColumn("yes", F.lit(True))
-    all_targets = F.explode(F.array(*[F.lit(t) for t in catalog.TARGETS])).alias("target")
-    rows = spark.createDataFrame(catalog.sources(), "source string, container string").select("source", "container", all_targets)
-    return rows.join(known, ["source", "container", "target"], "left").select("source", "container", "target", F.coalesce("yes", F.lit(False)).alias("supported"))
-
-
 @query("WITH f(flag, bit) AS (VALUES " + ", ".join(str(x) for x in catalog.DECODE_FLAGS) + ") SELECT event_id, string_agg(flag, ',' ORDER BY bit) AS flags FROM events JOIN f ON (event_id * 37 % 2048) & bit <> 0 GROUP BY event_id")
 def decode_flag_sets(spark, sf):
     """Projection P13: masks to sets of names."""
