@@ -74,7 +74,7 @@ class TreeBpe:
             self.bytes_of[i] = b
         self.stable: dict[int, bool] = {}
         self.kept, self.windows = Kept(self._halves), Kept(self._window)
-        self.words = Kept(lambda word: tuple(self.kept[word.encode()]))
+        self.words = Kept(lambda word: self._halves(word.encode()))
         self.joins = self.seams = 0
 
     # ---- the bytes of a match
@@ -109,17 +109,19 @@ class TreeBpe:
         if not left or not right:
             return left or right
         self.joins += 1
-        if self._stable(left[-1], right[0]):  # nothing at the seam changes
+        bytes_of, a, b = self.bytes_of, left[-1], right[0]
+        window = self.windows[bytes_of[a] + bytes_of[b]]
+        if len(window) == 2 and window[0] == a:  # nothing at the seam changes
             return left + right
         i = j = 1
         while True:
-            window = self.windows[self.decode(left[len(left) - i :] + right[:j])]
             left_ok = i == len(left) or self._stable(left[-i - 1], window[0])
             right_ok = j == len(right) or self._stable(window[-1], right[j])
             if left_ok and right_ok:
                 return left[: len(left) - i] + window + right[j:]
             i = i if left_ok else min(2 * i, len(left))
             j = j if right_ok else min(2 * j, len(right))
+            window = self.windows[self.decode(left[len(left) - i :] + right[:j])]
 
     def _halves(self, data: bytes) -> list[int]:
         if len(data) < 2:
