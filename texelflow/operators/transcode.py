@@ -52,6 +52,14 @@ def images(r: dict, target: str, image: int | None) -> Iterator[tuple[int, int,
             yield found
 
 
+def of_bytes(content: bytes, target: str, image: int | None = None) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """images() of one container's bytes, without Spark; a fault is an exception."""
+    if target not in catalog.TARGETS:
+        raise ValueError(f"unknown target {target}")
+    row = {} if content[:2] == b"sB" else ktx2.described(content)
+    yield from images(row | {"content": content}, target, image)
+
+
 def transcode(files: DataFrame, target: str, image: int | None = None) -> DataFrame:
     """OUT rows: each image and level of KTX2 and .basis files (path, content) in the target format.
 

@@ -453,6 +453,26 @@ def dispatch_matrix(spark, sf):
     return out.groupBy(parts[0].alias("source"), parts[1].alias("container"), "target").agg(F.bool_and(F.col("error").isNull() & (F.length("payload") > 0)).alias("supported"))
 
 
+@query("SELECT p_partkey, 2 AS images, 16 * (1 + p_partkey % 3) AS bytes, NULL::VARCHAR AS error, 'missing has no decoder; register one' AS without FROM part WHERE p_partkey % 4 <> 3 UNION ALL SELECT p_partkey, 0, NULL, 'not a KTX2 file', 'missing has no decoder; register one' FROM part WHERE p_partkey % 4 = 3")
+def sql_table_function(spark, sf):
+    """Section 2.14: the decoder as a table function in SQL, and one that is missing."""
+    from ..sources import backends
+
+    def write(key):
+        out = []
+        for p in key:
+            side = 2 * (1 + p % 3)
+            one = bytes(side * 2 * 4)
+            out.append((str(p), written.ktx2_file([one + one], side, 2, vk=37, layers=2) if p % 4 != 3 else b"x" * 90))
+        return out
+
+    backends.register(spark)
+    backends.register(spark, "no_texture_images", backends.MISSING)
+    _mapped(table(spark, sf, "part").select("p_partkey"), write, "path string, content binary").createOrReplaceTempView("texture_files")
+    return spark.sql("""SELECT cast(f.path AS bigint) AS p_partkey, cast(2 * count(t.payload) AS int) AS images, cast(max(length(t.payload)) AS bigint) AS bytes, max(t.error) AS error, max(n.error) AS without
+FROM texture_files f, LATERAL texture_images(f.content, 'RGBA8', 1) t, LATERAL no_texture_images(f.content, 'RGBA8', NULL) n GROUP BY f.path""")
+
+
 @query("""SELECT p_partkey, image, CASE WHEN image < 1 + p_partkey % 3 THEN (image * 50 + p_partkey) % 256 END AS red, CASE WHEN image >= 1 + p_partkey % 3 THEN 'image index out of range' END AS error FROM part, (SELECT unnest([0, 1, 2]) AS image)""")
 def image_index(spark, sf):
     """Filter F4: one image of array textures, by its index."""

@@ -5,6 +5,7 @@ that into an exception."""
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -128,6 +129,42 @@ def key_values(content: bytes, offset: int, length: int) -> list[tuple[str, byte
     return out
 
 
+def described(content: bytes) -> dict:
+    """What descriptors() says of one file, read in Python: for callers outside a DataFrame."""
+    if content[:12].hex().upper() != IDENTIFIER or len(content) < HEADER:
+        raise ValueError("not a KTX2 file" if len(content) >= HEADER else "too short for a header")
+    w = struct.unpack_from("<13I2Q", content, 12)
+    names = ("vk_format", "type_size", "width", "height", "depth", "layers", "faces", "levels", "scheme_code", "dfd_offset", "dfd_length", "kvd_offset", "kvd_length", "sgd_offset", "sgd_length")
+    r: dict = dict(zip(names, w, strict=True))
+    past = any(r[f"{n}_length"] and r[f"{n}_offset"] + r[f"{n}_length"] > len(content) for n in ("dfd", "kvd", "sgd"))
+    for wrong, fault in (
+        (r["type_size"] != 1, "unsupported type size"),
+        (not 0 < r["width"] < 2**31 or not 0 < r["height"] < 2**31, "invalid size"),
+        (max(r["width"], r["height"]) > MOST_PIXELS, "size above the limit"),
+        (r["depth"] != 0, "only two dimensions are supported"),
+        (r["faces"] < 1, "invalid face count"),
+        (not 0 < r["levels"] <= MOST_LEVELS, "no mip levels" if not r["levels"] else "too many mip levels"),
+        (r["scheme_code"] >= len(SCHEMES), "unknown supercompression"),
+        (past, "metadata past the end"),
+        (r["dfd_length"] not in (0, 44, 60), "unsupported descriptor length"),
+        (len(content) < HEADER + 24 * r["levels"], "truncated level index"),
+    ):
+        if wrong:
+            raise ValueError(fault)
+    r |= {"scheme": SCHEMES[r["scheme_code"]], "images": max(r["layers"], 1) * r["faces"], "texture_format": None, "error": None}
+    if r["dfd_length"]:
+        word, size = struct.unpack_from("<2I", content, r["dfd_offset"] + 12)
+        block = f"{(size & 255) + 1}x{(size >> 8 & 255) + 1}"
+        model = word & 255
+        r["texture_format"] = MODELS.get(model) or {169: f"XUASTC_LDR_{block}"}.get(model)
+        if model == 162:
+            hdr, ldr = r["vk_format"] == 1000066004 and block == "6x6", 157 <= r["vk_format"] <= 184
+            r["texture_format"] = "ASTC_HDR_6x6" if hdr else f"ASTC_LDR_{block}" if ldr else None
+        if r["texture_format"] is None:
+            raise ValueError("unknown colour model")
+    return r
+
+
 def key_value_rows(rows: DataFrame) -> DataFrame:
     """path, place, key, value, error of each entry of headers() rows; malformed data are one row with the fault."""
     wanted = rows.filter("error is null").select("path", "content", "kvd_offset", "kvd_length")
