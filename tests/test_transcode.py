@@ -4,7 +4,7 @@ import numpy as np
 from test_ktx2 import container
 from test_uastc import put
 
-from texelflow.codecs import bc, packers
+from texelflow.codecs import bc, bc7, packers
 from texelflow.operators import blocks as B
 from texelflow.operators.transcode import transcode
 
@@ -22,7 +22,7 @@ def test_dispatch(spark):
         assert set(got[t]) == set(files) and got[t]["hdr"]["error"] and got[t]["bad"]["error"]
     assert got["BC5"]["plain"]["error"] and got["BC7"]["plain"]["error"]
     block = np.frombuffer(bytes(got["BC7"]["uastc"]["payload"]), np.uint8).reshape(1, 16)
-    assert (bc.bc7_texels(block) == [200, 2, 3, 90]).all()
+    assert (bc7.texels(block) == [200, 2, 3, 90]).all()
     assert {r["error"] for r in transcode(df.filter("path = 'uastc'"), "BC6H").collect()} == {"no way to BC6H from UASTC_LDR_4x4"}
 
 

@@ -9,9 +9,13 @@ import functools
 
 import numpy as np
 
+from . import bc7
+
 #: Fixed values of the format: weights of 64 by selector.
 BC7_WEIGHTS = np.array((0, 4, 9, 13, 17, 21, 26, 30, 34, 38, 43, 47, 51, 55, 60, 64))
 BC7_TWO_BITS = 21  # of 64: weight of selector 1
+#: Squared distance of a block below which no other mode is tried.
+FINE = 64.0
 #: Share of the second end point by selector of a BC1 block.
 BC1_SHARES = np.array((0, 1, 1 / 3, 2 / 3))
 
@@ -142,8 +146,9 @@ def _bc7_choice(v: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[n
     return best
 
 
-def bc7(rgba: np.ndarray) -> np.ndarray:
-    """(n, 16) bytes of texels (n, 16, 4): mode 5 for a single colour, else mode 6."""
+def pack_bc7(rgba: np.ndarray) -> np.ndarray:
+    """(n, 16) bytes of texels (n, 16, 4): mode 5 for a single colour, mode 1 for opaque blocks that two groups of texels
+    fit better, else mode 6."""
     v = rgba.astype(np.float64)
     error, ends, selectors = _bc7_choice(v, *_ends(v))
     for _ in range(2):
@@ -156,31 +161,11 @@ def bc7(rgba: np.ndarray) -> np.ndarray:
     colours = [(ends[:, k, c] >> 1, 7) for c in range(4) for k in (0, 1)]
     lows = [(ends[:, k, 0] & 1, 1) for k in (0, 1)]
     out = _fields(len(v), [(1 << 6, 7), *colours, *lows, (selectors[:, 0], 3), *[(selectors[:, t], 4) for t in range(1, 16)]])
+    poor = np.flatnonzero((rgba[..., 3] == 255).all(1) & (error > FINE))
+    if len(poor):
+        e, two = bc7.two_groups(rgba[poor, :, :3])
+        better = e < error[poor]
+        out[poor[better]] = two[better]
     solid = (rgba == rgba[:, :1]).all((1, 2))
     out[solid] = _bc7_solid(rgba[solid, 0].astype(np.int64))
     return out
-
-
-def bc7_texels(blocks: np.ndarray) -> np.ndarray:
-    """(n, 16, 4) of blocks in the modes written here; others are an error."""
-    bits = np.unpackbits(blocks, axis=1, bitorder="little").astype(np.int64)
-    take = lambda at, n: bits[:, at : at + n] @ (1 << np.arange(n))
-    out = np.zeros((len(blocks), 16, 4), np.int64)
-    six, five = blocks[:, 0] & 127 == 64, blocks[:, 0] & 63 == 32
-    if not (six | five).all():
-        raise ValueError("only BC7 modes 5 and 6 are read")
-    rows = np.arange(len(blocks))[:, None, None]
-    ends = np.stack([np.stack([take(7 + 14 * c + 7 * k, 7) << 1 | take(63 + k, 1) for c in range(4)], axis=1) for k in (0, 1)], axis=1)
-    selectors = np.stack([take(65, 3), *[take(68 + 4 * t, 4) for t in range(15)]], axis=1)
-    w = BC7_WEIGHTS[selectors][:, :, None]
-    out[six] = ((ends[:, :1] * (64 - w) + ends[:, 1:] * w + 32) >> 6)[six]
-    wide = lambda v: v << 1 | v >> 6
-    ends = np.stack([np.stack([*[wide(take(8 + 14 * c + 7 * k, 7)) for c in range(3)], take(50 + 8 * k, 8)], axis=1) for k in (0, 1)], axis=1)
-    two = np.array((0, BC7_TWO_BITS, 64 - BC7_TWO_BITS, 64))
-    colour = two[np.stack([take(66, 1), *[take(67 + 2 * t, 2) for t in range(15)]], axis=1)]
-    alpha = two[np.stack([take(97, 1), *[take(98 + 2 * t, 2) for t in range(15)]], axis=1)]
-    w = np.concatenate([np.repeat(colour[:, :, None], 3, axis=2), alpha[:, :, None]], axis=2)
-    mixed = (ends[:, :1] * (64 - w) + ends[:, 1:] * w + 32) >> 6
-    turned = np.stack([np.where(take(6, 2) == c + 1, 3, c) for c in range(3)] + [np.where(take(6, 2) > 0, take(6, 2) - 1, 3)], axis=1)
-    out[five] = mixed[rows, np.arange(16)[None, :, None], turned[:, None, :]][five]
-    return out.astype(np.uint8)

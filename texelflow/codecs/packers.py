@@ -87,7 +87,7 @@ def _block_bytes(texels: np.ndarray, target: str) -> np.ndarray:
     """(n, 8 or 16) bytes of texels (n, 16, 4)."""
     rgb, red, alpha = texels[..., :3], texels[..., 0], texels[..., 3]
     if target == "BC7":
-        return bc.bc7(texels)
+        return bc.pack_bc7(texels)
     parts = {
         "BC1": lambda: [bc.bc1(rgb)],
         "BC3": lambda: [bc4(alpha), bc.bc1(rgb)],

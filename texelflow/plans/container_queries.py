@@ -545,6 +545,52 @@ def arithmetic_streams(spark, sf):
     return table(spark, sf, "events").select("user_id", "event_id").groupBy("user_id").applyInPandas(run, "user_id bigint, symbols bigint, total bigint, bits bigint, gammas bigint, most bigint")
 
 
+def _bc7_sql() -> str:
+    """Blocks of modes 0 to 3 and 7 whose groups run from black to white, or are white, or black; where both end points
+    share a lowest bit of 0, white is 253."""
+    from ..codecs import bc7
+
+    patterns = ", ".join(f"({n}, {p}, '{g}')" for n, rows in ((2, bc7.GROUPS_2), (3, bc7.GROUPS_3)) for p, g in enumerate(rows))
+    return f"""WITH m(mode, groups, n, ib) AS (VALUES (0, 3, 16, 3), (1, 2, 64, 3), (2, 3, 64, 2), (3, 2, 64, 2), (7, 2, 64, 2)), g(groups, pattern, text) AS (VALUES {patterns})
+, e AS (SELECT event_id, m.*, event_id // 5 % m.n AS pattern FROM events JOIN m ON m.mode = [0, 1, 2, 3, 7][1 + event_id % 5])
+, t AS (SELECT e.*, text, unnest(generate_series(0, 15)) AS texel FROM e JOIN g ON g.groups = e.groups AND g.pattern = e.pattern)
+, v AS (SELECT *, substr(text, texel + 1, 1)::INT AS own, (event_id + texel * 3) % (1 << (ib - 1)::INT) AS i FROM t)
+, w AS (SELECT *, CASE ib WHEN 2 THEN [0, 21][1 + i] ELSE [0, 9, 18, 27][1 + i] END AS w FROM v)
+SELECT event_id, mode, texel::INTEGER AS texel, ((CASE WHEN own = 1 THEN 255 ELSE 0 END * (64 - w) + CASE WHEN own = 2 THEN 0 WHEN own = 0 AND mode = 1 THEN 253 ELSE 255 END * w + 32) >> 6)::BIGINT AS grey FROM w"""
+
+
+@query(_bc7_sql())
+def bc7_partitioned_modes(spark, sf):
+    """Codec B29, join J4: BC7 blocks with two and three groups of texels, all patterns, to texels."""
+    from ..codecs import bc7
+
+    def run(key):
+        blocks = []
+        for k in key:
+            mode = (0, 1, 2, 3, 7)[k % 5]
+            m = bc7.MODES[mode]
+            pattern = k // 5 % (1 << m.pattern)
+            _, anchors = bc7.layout(m.groups, pattern)
+            w = written.BitWriter()
+            w.put(1 << mode, mode + 1)
+            w.put(pattern, m.pattern)
+            ends = ((0, 1), (1, 1), (0, 0))  # of each group: black to white, white, black
+            for n in [m.colour] * 3 + [m.alpha] * (m.alpha > 0):
+                for g in range(m.groups):
+                    for v in ends[g]:
+                        w.put(v * ((1 << n) - 1), n)
+            for g in range(m.groups):
+                for v in ends[g][: m.lowest]:
+                    w.put(v if m.lowest == 2 else ends[g][1] & ends[g][0], 1)
+            for t in range(16):
+                w.put((k + t * 3) % (1 << (m.index - 1)), m.index - (t in anchors))
+            blocks.append(w.done().ljust(16, b"\0"))
+        texels = bc7.texels(np.frombuffer(b"".join(blocks), np.uint8).reshape(-1, 16)) if blocks else np.zeros((0, 16, 4))
+        return [(k, (0, 1, 2, 3, 7)[k % 5], t, int(texels[j, t, 0])) for j, k in enumerate(key) for t in range(16)]
+
+    return _mapped(table(spark, sf, "events").select("event_id"), run, "event_id bigint, mode int, texel int, grey bigint")
+
+
 @query("SELECT event_id, true AS red, true AS green, true AS blue FROM events")
 def bc6h_blocks(spark, sf):
     """Codecs B26 and B27: HDR blocks of one colour become BC6H within a step of ten bits."""
@@ -712,13 +758,13 @@ def uastc_as_astc(spark, sf):
 def bc7_solid_blocks(spark, sf):
     """Codecs B28 and B29: blocks of one colour keep it exactly."""
     event = F.col("event_id")
-    from ..codecs import bc
+    from ..codecs import bc, bc7
 
     u = F.col("user_id")
 
     def run(key, *rgba):
         t = np.repeat(np.array(rgba, np.uint8).T.reshape(-1, 1, 4), 16, axis=1)
-        got = bc.bc7_texels(bc.bc7(t)).astype(int)
+        got = bc7.texels(bc.pack_bc7(t)).astype(int)
         return [(k, *row) for k, row in zip(key, got.min(1).tolist(), strict=True)]
 
     rows = table(spark, sf, "events").select("event_id", event % 256, event * 3 % 256, u % 256, (event + u) % 256)
@@ -728,7 +774,7 @@ def bc7_solid_blocks(spark, sf):
 @query("WITH px AS (SELECT vec_id, i, least(255, greatest(0, floor(e::DOUBLE * 255)::BIGINT + 128)) AS v FROM (SELECT vec_id, unnest(generate_series(0, 63)) AS i, unnest(embedding) AS e FROM embeddings WHERE len(embedding) = 64)) SELECT vec_id, max(v) - min(v) AS span, true AS bc1, true AS bc7, true AS etc1 FROM px WHERE i < 16 GROUP BY vec_id")
 def packed_block_errors(spark, sf):
     """Codecs B8, B28 and B29, aggregates A4 and A5: grey blocks packed and read again stay within the format's steps."""
-    from ..codecs import bc, etc1
+    from ..codecs import bc, bc7, etc1
 
     def run(key, vector):
         v = np.clip(np.floor(np.array(vector, float)[:, :16] * 255).astype(int) + 128, 0, 255)
@@ -736,7 +782,7 @@ def packed_block_errors(spark, sf):
         grey = np.repeat(v[:, :, None], 4, axis=2).astype(np.uint8)
         off = lambda t: np.abs(t[..., :3].astype(int) - v[:, :, None]).max((1, 2))
         limits = {"bc1": span / 6 + 10, "bc7": span / 30 + 3, "etc1": span / 2 + 12}
-        got = {"bc1": bc.bc1_texels(bc.bc1(grey[..., :3])), "bc7": bc.bc7_texels(bc.bc7(grey)), "etc1": etc1.texels(etc1.pack(grey[..., :3]))}
+        got = {"bc1": bc.bc1_texels(bc.bc1(grey[..., :3])), "bc7": bc7.texels(bc.pack_bc7(grey)), "etc1": etc1.texels(etc1.pack(grey[..., :3]))}
         return [(k, int(s), *(bool(off(got[n])[j] <= limits[n][j]) for n in got)) for j, (k, s) in enumerate(zip(key, span, strict=True))]
 
     rows = table(spark, sf, "embeddings").filter(F.size("embedding") == 64).select("vec_id", "embedding")
