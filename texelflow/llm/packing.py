@@ -49,19 +49,20 @@ class FileTokenizer:
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.size = self.whole.get_vocab_size(with_added_tokens=True)
         with open(path, encoding="utf-8") as f:  # an installed file of each executor's Python, not a data table
             said = json.load(f)
         letters = _bytes_of_letters()
         added = {t["content"]: t["id"] for t in said["added_tokens"]}
-        ranks = {}
-        self.engine = None
+        self.size = 1 + max([*said["model"]["vocab"].values(), *added.values()])
+        self.engine = self.whole = None  # one of them is loaded
         if self._plain(said, letters):
             ranks = {bytes(map(letters.__getitem__, k)): v for k, v in said["model"]["vocab"].items() if k not in added}
             self.engine = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+        else:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(path)
 
     @staticmethod
     def _plain(said: dict, letters: dict[str, int]) -> bool:

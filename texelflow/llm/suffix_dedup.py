@@ -45,8 +45,8 @@ FOLD_BITS = 27
 COMMON_BITS, COMMON_LEAST = 20, 1024
 #: Bytes of a run's suffixes; a run is sorted in memory.
 RUN_BYTES = 1 << 23
-#: Suffixes of a range, about.
-RANGE = 100_000
+#: Suffixes of a range, about; and the most tasks: beyond, a task merges several ranges, one after the other.
+RANGE, TASKS = 50_000, 20_000
 #: Rows of covered bytes given out at once.
 GIVEN = 4096
 END = b"\xff"  # in no UTF-8 text
@@ -262,7 +262,7 @@ def _merged(runs: DataFrame, parts: int, window: int) -> DataFrame:
         if slices:
             yield from solve()
 
-    spread = runs.repartition(parts, "part").sortWithinPartitions("part")
+    spread = runs.repartition(min(parts, TASKS), "part").sortWithinPartitions("part")
     return arrow_map(spread, run, "d1 bigint, d2 bigint, spans binary")
 
 

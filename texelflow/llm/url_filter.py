@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Renamed, Scratch, hot_keys, salted_join
+from .common import Renamed, Scratch, hot_keys, salted_join
 
 #: action, host, path prefix
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -103,11 +103,8 @@ def verdicts(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
     counted = places.groupBy("gram").agg(F.count("*").alias("uses"), *[F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)).alias(s) for s in SIDES])
     counted = scratch.save(counted, "counted")
     model = log_ratios(counted, scratch)
-    used, most = counted.agg(F.count("*"), F.sum("uses")).first()
-    if used <= BROADCAST_ROWS:
-        rated = places.join(F.broadcast(model), "gram")
-    else:
-        rated = salted_join(places.select("u", "gram"), model, ["gram"], hot_keys(counted, ["gram"], "uses", most), F.col("u"))
+    uses = counted.agg(F.sum("uses")).first()[0] or 0
+    rated = salted_join(places.select("u", "gram"), model, ["gram"], hot_keys(counted, ["gram"], "uses", uses), F.col("u"))
     sums = scratch.save(rated.groupBy("u").agg(F.sum("ratio").alias("t"), F.count("*").alias("chars")), "sums")
     scored = urls.join(sums, "u", "left").withColumns({"t": F.coalesce("t", F.lit(0)), "chars": F.coalesce("chars", F.lit(0))})
     mean = lambda s: F.sum(F.when(F.col("action") == s, F.col("t") * F.col("n"))) / F.sum(F.when((F.col("action") == s) & (F.col("chars") > 0), F.col("chars") * F.col("n")))
