@@ -1,7 +1,8 @@
 """Texture video: each frame's blocks are coded against the frame before, at the same place.
 
-State per (path, level, alpha) is the last frame's packed end point and selector of each block. A batch folds the
-ordered frames of a key once, so frame k costs one step, not k; a stream keeps the same state between batches."""
+State per (path, level, alpha) is the last frame's packed end point and selector of each block. In a batch each block
+is a group of its own, whose last change up to a frame is its value there, so a long or large video is spread over
+tasks; a stream keeps the last frame between batches and folds the ordered frames of a key."""
 
 from __future__ import annotations
 
@@ -9,7 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 KEY = ["path", "level", "is_alpha"]
 OUT = "path string, level int, is_alpha boolean, frame int, blocks array<int>"
@@ -31,8 +33,16 @@ def _folded(pdf: pd.DataFrame, state: np.ndarray | None) -> tuple[pd.DataFrame,
 
 
 def frames(deltas: DataFrame) -> DataFrame:
-    """All frames from deltas (key, frame, n_blocks, places, values_); a video's frames are one ordered group."""
-    return deltas.groupBy(*KEY).applyInPandas(lambda pdf: _folded(pdf, None)[0], OUT)
+    """All frames from deltas (key, frame, n_blocks, places, values_); blocks that never changed are 0."""
+    each = deltas.select(*KEY, "frame", F.posexplode(F.arrays_zip("places", "values_")).alias("nth", "c"))
+    last = F.max_by("c.values_", "nth").alias("value")  # of several changes of a block in one frame
+    changes = each.groupBy(*KEY, "frame", F.col("c.places").alias("place")).agg(last)
+    grid = deltas.select(*KEY, "frame", F.posexplode(F.array_repeat(F.lit(0), F.col("n_blocks"))).alias("place", "none")).drop("none")
+    so_far = Window.partitionBy(*KEY, "place").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    value = F.coalesce(F.last("value", ignorenulls=True).over(so_far), F.lit(0)).cast("int")
+    rows = grid.join(changes, [*KEY, "frame", "place"], "left").withColumn("value", value)
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"])  # one frame's
+    return rows.groupBy(*KEY, "frame").agg(whole.alias("blocks"))
 
 
 def streamed(deltas: DataFrame) -> DataFrame:
