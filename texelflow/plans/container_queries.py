@@ -610,6 +610,133 @@ def bc6h_blocks(spark, sf):
     return _mapped(table(spark, sf, "events").select("event_id"), run, "event_id bigint, red boolean, green boolean, blue boolean")
 
 
+@query("SELECT n_nationkey::BIGINT AS nation, CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE reverse(n_name) END AS payload, CASE n_nationkey % 5 WHEN 4 THEN 'encoder made an empty file' END AS error FROM nation")
+def encoded_images(spark, sf):
+    """Source S20, section 2.15: an external program run over files, with its output as bytes, or a fault."""
+    import sys
+
+    script = "import sys; a = sys.argv; data = open(a[-1], 'rb').read(); open(a[a.index('-output_file') + 1], 'wb').write(b'' if data == b'empty' else data[::-1])"
+    content = F.when(F.col("n_nationkey") % 5 == 4, F.lit("empty")).otherwise(F.col("n_name")).cast("binary")
+    files = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("path"), content.alias("content"))
+    rows = encode.encode(files, [sys.executable, "-c", script])
+    return rows.select(F.col("path").cast("bigint").alias("nation"), F.col("payload").cast("string").alias("payload"), "error")
+
+
+_KINDS = (0, 1, 4, 6, 8, 9, 10, 12)
+
+
+def _ends_sql() -> str:
+    """End points of 8 bits by kind: luminance, with a shared base or with alpha; a scaled colour; two colours, where the
+    darker comes first or both are contracted towards blue; a colour and an offset."""
+    con = lambda a, b: f"CASE WHEN s1 >= s0 THEN [{a}] ELSE [(({b[0]}) + ({b[2]})) >> 1, (({b[1]}) + ({b[2]})) >> 1, {b[2]}] END"
+    lo8, hi8 = con("v[1], v[3], v[5]", ("v[2]", "v[4]", "v[6]")), con("v[2], v[4], v[6]", ("v[1]", "v[3]", "v[5]"))
+    base = [f"((v[{2 * c + 1}] >> 1) | (v[{2 * c + 2}] & 128))" for c in range(3)]
+    off = [f"(((v[{2 * c + 2}] >> 1) & 63) - CASE WHEN v[{2 * c + 2}] & 64 <> 0 THEN 64 ELSE 0 END)" for c in range(3)]
+    far = [f"(({b}) + ({o}))" for b, o in zip(base, off, strict=True)]
+    clip = lambda xs: "[" + ", ".join(f"least(255, greatest(0, {x}))" for x in xs) + "]"
+    contract = lambda xs: [f"((({xs[0]}) + ({xs[2]})) >> 1)", f"((({xs[1]}) + ({xs[2]})) >> 1)", xs[2]]
+    down = f"({off[0]} + {off[1]} + {off[2]}) < 0"
+    first = "(v[1] >> 2) | (v[2] & 192)"
+    return f"""WITH e AS (SELECT event_id, {list(_KINDS)}[1 + event_id % {len(_KINDS)}] AS kind, [(event_id * (37 + 11 * k) + user_id * k) % 256 for k in range(8)] AS v FROM events), s AS (SELECT *, v[1] + v[3] + v[5] AS s0, v[2] + v[4] + v[6] AS s1 FROM e)
+, p AS (SELECT event_id, kind, CASE WHEN kind IN (0, 4) THEN [v[1], v[1], v[1]] WHEN kind = 1 THEN [{first}, {first}, {first}] WHEN kind IN (6, 10) THEN [v[1] * v[4] >> 8, v[2] * v[4] >> 8, v[3] * v[4] >> 8] WHEN kind IN (8, 12) THEN {lo8} ELSE CASE WHEN {down} THEN {clip(contract(far))} ELSE {clip(base)} END END AS lo,
+CASE WHEN kind IN (0, 4) THEN [v[2], v[2], v[2]] WHEN kind = 1 THEN list_transform([1, 1, 1], lambda i: least(255, ({first}) + (v[2] & 63))) WHEN kind IN (6, 10) THEN [v[1], v[2], v[3]] WHEN kind IN (8, 12) THEN {hi8} ELSE CASE WHEN {down} THEN {clip(contract(base))} ELSE {clip(far)} END END AS hi,
+CASE kind WHEN 4 THEN v[3] WHEN 10 THEN v[5] WHEN 12 THEN CASE WHEN s1 >= s0 THEN v[7] ELSE v[8] END ELSE 255 END AS a0, CASE kind WHEN 4 THEN v[4] WHEN 10 THEN v[6] WHEN 12 THEN CASE WHEN s1 >= s0 THEN v[8] ELSE v[7] END ELSE 255 END AS a1 FROM s)
+SELECT event_id, kind, array_to_string(lo, ' ') || ' ' || a0 AS lo, array_to_string(hi, ' ') || ' ' || a1 AS hi FROM p"""
+
+
+@query(_ends_sql())
+def endpoints_by_kind(spark, sf):
+    """Projection P11: end point values of eight LDR kinds to two colours."""
+    from ..codecs import astc_hdr
+
+    def run(event, user):
+        out = []
+        for e, u in zip(event, user, strict=True):
+            kind = _KINDS[e % len(_KINDS)]
+            v = np.array([[(e * (37 + 11 * k) + u * k) % 256 for k in range(2 * ((kind >> 2) + 1))]])
+            ends = astc_hdr.ends_of(v, kind)[0][0] // 257
+            out.append((e, kind, *(" ".join(map(str, ends[:, k].tolist())) for k in (0, 1))))
+        return out
+
+    return _mapped(table(spark, sf, "events").select("event_id", "user_id"), run, "event_id bigint, kind int, lo string, hi string")
+
+
+@query("""WITH e AS (SELECT event_id, event_id * 7 % 256 AS v0, event_id * 13 % 256 AS v1 FROM events), t AS (SELECT *, unnest(generate_series(0, 15)) AS texel FROM e), y AS (SELECT *, CASE WHEN v1 >= v0 THEN v0 * 16 ELSE v1 * 16 + 8 END * 16 AS y0, CASE WHEN v1 >= v0 THEN v1 * 16 ELSE v0 * 16 - 8 END * 16 AS y1, [0, 21, 43, 64][1 + (event_id + texel) % 4] AS w FROM t)
+, c AS (SELECT *, (y0 * (64 - w) + y1 * w + 32) >> 6 AS c FROM y), m AS (SELECT *, c & 2047 AS m FROM c)
+SELECT event_id, texel::INTEGER AS texel, least(31743, (c >> 11) * 1024 + (CASE WHEN m < 512 THEN 3 * m WHEN m < 1536 THEN 4 * m - 512 ELSE 5 * m - 2048 END >> 3)) AS half FROM m""")
+def hdr_luminance_blocks(spark, sf):
+    """Codec B25, projection P12: HDR blocks of one pair of luminances and two-bit weights, to half floats."""
+    from ..codecs import astc, astc_hdr
+
+    def run(key):
+        level, high = astc.WEIGHT_RANGE[2]
+        blocks = []
+        for k in key:
+            w = written.BitWriter()
+            w.put(level >> 1 | (level & 1) << 4 | 2 << 5 | high << 9, 11)  # a grid of 4 x 4
+            w.put(0, 2)
+            w.put(2, 4)
+            w.put(k * 7 % 256, 8)
+            w.put(k * 13 % 256, 8)
+            value = w.value
+            for t in range(16):  # weights run down from the top
+                for b in (0, 1):
+                    value |= ((k + t) % 4 >> b & 1) << (127 - 2 * t - b)
+            blocks.append(value.to_bytes(16, "little"))
+        got = astc_hdr.halves(np.frombuffer(b"".join(blocks), np.uint8).reshape(-1, 16), (4, 4)) if blocks else np.zeros((0, 16, 4))
+        return [(k, t, int(got[j, t, 0])) for j, k in enumerate(key) for t in range(16)]
+
+    return _mapped(table(spark, sf, "events").select("event_id"), run, "event_id bigint, texel int, half bigint")
+
+
+def _bc5_sql(c: str) -> str:
+    reached = " + ".join(f"(({c} - lo) * 14 + 4 >= (hi - lo) * {k})::INT" for k in (13, 11, 9, 7, 5, 3, 1))
+    return f"SELECT nation, x // 4 AS bx, y // 4 AS by_, any_value(hi) AS hi, any_value(lo) AS lo, sum(CASE WHEN hi = lo THEN 0 ELSE [1, 7, 6, 5, 4, 3, 2, 0][1 + {reached}] * (8 ** (y % 4 * 4 + x % 4))::BIGINT END)::BIGINT AS s FROM (SELECT *, max({c}) OVER w AS hi, min({c}) OVER w AS lo FROM px WINDOW w AS (PARTITION BY nation, x // 4, y // 4)) GROUP BY ALL"
+
+
+@query(_ETC1S_SQL + f", px AS (SELECT nation::BIGINT AS nation, x, y, rgb[1] AS r, a FROM colour), r AS ({_bc5_sql('r')}), z AS ({_bc5_sql('a')}) SELECT nation, by_ * 8 + bx AS block, r.hi AS r_hi, r.lo AS r_lo, r.s AS r_selectors, z.hi AS a_hi, z.lo AS a_lo, z.s AS a_selectors FROM r JOIN z USING (nation, bx, by_)")
+def etc1s_as_bc5(spark, sf):
+    """Codec B9, join J6: red and alpha of ETC1S files in one block each."""
+    rows = transcode.transcode(_etc1s_files(spark, sf), "BC5")
+
+    def read(path, payload):
+        half = lambda b: (b[0], b[1], int.from_bytes(b[2:8], "little"))
+        return [(int(p), k, *half(raw[16 * k : 16 * k + 8]), *half(raw[16 * k + 8 : 16 * k + 16])) for p, raw in zip(path, payload, strict=True) for k in range(len(raw) // 16)]
+
+    return _mapped(rows.select("path", "payload"), read, "nation bigint, block bigint, r_hi bigint, r_lo bigint, r_selectors bigint, a_hi bigint, a_lo bigint, a_selectors bigint")
+
+
+_S8 = lambda c, m: f"((({c} * {m} + 128) + (({c} * {m} + 128) >> 8)) >> 8)"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_partkey % 256 AS r, p_partkey * 3 % 256 AS g, p_size * 5 % 256 AS b, (p_partkey + p_size) % 256 AS a FROM part)
+SELECT p_partkey, (r + g * 256 + b * 65536 + a * 16777216)::BIGINT AS rgba, {_S8('r', 31)} * 2048 + {_S8('g', 63)} * 32 + {_S8('b', 31)} AS rgb565, {_S8('b', 31)} * 2048 + {_S8('g', 63)} * 32 + {_S8('r', 31)} AS bgr565, {_S8('r', 15)} * 4096 + {_S8('g', 15)} * 256 + {_S8('b', 15)} * 16 + {_S8('a', 15)} AS rgba4444, 20 AS texels FROM p""")
+def uastc_pixel_targets(spark, sf):
+    """Section 2.2: UASTC files of one colour, 5 x 4 texels, in the targets of pixels, each file parsed once."""
+
+    def write(key, size):
+        out = []
+        for p, n in zip(key, size, strict=True):
+            w = written.BitWriter()
+            for v, bits_ in ((0x17, 5), (p % 256, 8), (p * 3 % 256, 8), (n * 5 % 256, 8), ((p + n) % 256, 8)):
+                w.put(v, bits_)
+            out.append((str(p), written.ktx2_file([w.done().ljust(16, b"\0") * 2], 5, 4, written.MODEL["UASTC_LDR_4x4"])))
+        return out
+
+    def read(path, target, payload):
+        out = []
+        for p, t, raw in zip(path, target, payload, strict=True):
+            v = np.frombuffer(raw, "<u4" if t == "RGBA8" else "<u2")
+            out.append((int(p), t, int(v[0]) if (v == v[0]).all() else -1, len(v)))
+        return out
+
+    files = _mapped(table(spark, sf, "part").select("p_partkey", "p_size"), write, "path string, content binary")
+    rows = transcode.transcode_each(files, F.array(*[F.lit(t) for t in ("RGBA8", "RGB565", "BGR565", "RGBA4444")]))
+    each = _mapped(rows.select("path", "target", "payload"), read, "p_partkey bigint, target string, value bigint, n int")
+    of = lambda t, name: F.max(F.when(F.col("target") == t, F.col("value"))).alias(name)
+    return each.groupBy("p_partkey").agg(of("RGBA8", "rgba"), of("RGB565", "rgb565"), of("BGR565", "bgr565"), of("RGBA4444", "rgba4444"), F.max("n").alias("texels"))
+
+
 # ---- other operators
 
 
