@@ -219,6 +219,10 @@ def image(data: bytes, width: int, height: int, target: str = "RGBA8") -> bytes:
         from . import astc
 
         return astc.pack(source).tobytes()
+    from . import uastc_hints
+
+    if target in uastc_hints.HINTED:
+        return b"".join(uastc_hints.pack(source[k : k + packers.CHUNK], target).tobytes() for k in range(0, len(source), packers.CHUNK))
     whole = texels(source).reshape(ny, nx, 4, 4, 4).transpose(0, 2, 1, 3, 4).reshape(ny * 4, nx * 4, 4)
     return packers.finish(whole, width, height, target)
 

@@ -737,6 +737,25 @@ def uastc_pixel_targets(spark, sf):
     return each.groupBy("p_partkey").agg(of("RGBA8", "rgba"), of("RGB565", "rgb565"), of("BGR565", "bgr565"), of("RGBA4444", "rgba4444"), F.max("n").alias("texels"))
 
 
+@query("""WITH e AS (SELECT event_id, event_id % 2 AS d, event_id % 8 AS t, user_id % 4 AS s, CASE WHEN event_id % 2 = 1 THEN 32 ELSE 16 END AS n FROM events), c AS (SELECT *, event_id * 3 % n AS r, user_id % n AS g, (event_id + user_id) % n AS b FROM e)
+SELECT event_id, CASE d WHEN 1 THEN r * 8 ELSE r * 17 END AS r, CASE d WHEN 1 THEN g * 8 ELSE g * 17 END AS g, CASE d WHEN 1 THEN b * 8 ELSE b * 17 END AS b, d * 2 + t * 36 AS code, [4294967295, 4294901760, 0, 65535][1 + s] AS selectors FROM c""")
+def uastc_solid_as_etc1(spark, sf):
+    """Codec B11: solid blocks carry their ETC1 colour, table and selector."""
+    from ..codecs import uastc_hints
+
+    def run(event, user):
+        blocks = []
+        for e, u in zip(event, user, strict=True):
+            w, n = written.BitWriter(), 32 if e % 2 else 16
+            for v, size in ((0x17, 5), (e, 8), (u, 8), (e, 8), (255, 8), (e % 2, 1), (e % 8, 3), (u % 4, 2), (e * 3 % n, 5), (u % n, 5), ((e + u) % n, 5)):
+                w.put(v, size)
+            blocks.append(w.done().ljust(16, b"\0"))
+        out = uastc_hints.pack(np.frombuffer(b"".join(blocks), np.uint8).reshape(-1, 16), "ETC1") if blocks else []
+        return [(e, *map(int, b[:4]), int.from_bytes(b[4:].tobytes(), "big")) for e, b in zip(event, out, strict=True)]
+
+    return _mapped(table(spark, sf, "events").select("event_id", "user_id"), run, "event_id bigint, r bigint, g bigint, b bigint, code bigint, selectors bigint")
+
+
 # ---- other operators
 
 

@@ -162,12 +162,12 @@ def basis_file(slices: Sequence[tuple[int, int, int, int, int, bytes]], code: in
     return bytes(head) + table + b"".join([*parts, *(s[5] for s in slices)])
 
 
-def uastc_block(k: int, pattern: int, codes: Sequence[int], weights: Sequence[Sequence[int]], second: int) -> bytes:
-    """A block of mode k: end point codes in order, weights (16, planes)."""
+def uastc_block(k: int, pattern: int, codes: Sequence[int], weights: Sequence[Sequence[int]], second: int, hints: int = 0) -> bytes:
+    """A block of mode k: end point codes in order, weights (16, planes), hints of other formats as one number."""
     m = uastc.MODES[k]
     w = BitWriter()
     w.put(m.code, m.size)
-    w.put(0, m.hints)
+    w.put(hints, m.hints)
     anchors = {0}
     if m.pattern_bits:
         seeds = uastc.SEEDS_7 if k == 7 else uastc.SEEDS_3 if m.subsets == 3 else uastc.SEEDS_2
