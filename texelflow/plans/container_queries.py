@@ -737,7 +737,7 @@ def uastc_pixel_targets(spark, sf):
     return each.groupBy("p_partkey").agg(of("RGBA8", "rgba"), of("RGB565", "rgb565"), of("BGR565", "bgr565"), of("RGBA4444", "rgba4444"), F.max("n").alias("texels"))
 
 
-@query("""WITH e AS (SELECT event_id, event_id % 2 AS d, event_id % 8 AS t, user_id % 4 AS s, CASE WHEN event_id % 2 = 1 THEN 32 ELSE 16 END AS n FROM events), c AS (SELECT *, event_id * 3 % n AS r, user_id % n AS g, (event_id + user_id) % n AS b FROM e)
+@query("""WITH e AS (SELECT event_id, user_id, event_id % 2 AS d, event_id % 8 AS t, user_id % 4 AS s, CASE WHEN event_id % 2 = 1 THEN 32 ELSE 16 END AS n FROM events), c AS (SELECT *, event_id * 3 % n AS r, user_id % n AS g, (event_id + user_id) % n AS b FROM e)
 SELECT event_id, CASE d WHEN 1 THEN r * 8 ELSE r * 17 END AS r, CASE d WHEN 1 THEN g * 8 ELSE g * 17 END AS g, CASE d WHEN 1 THEN b * 8 ELSE b * 17 END AS b, d * 2 + t * 36 AS code, [4294967295, 4294901760, 0, 65535][1 + s] AS selectors FROM c""")
 def uastc_solid_as_etc1(spark, sf):
     """Codec B11: solid blocks carry their ETC1 colour, table and selector."""
