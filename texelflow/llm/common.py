@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; documents reach some hundred KB, so batches stay small.
-ARROW_ROWS = 400
+#: Rows and bytes of an Arrow batch: whichever comes first ends it, so long documents don't add up in a worker.
+ARROW_ROWS, ARROW_BYTES = 400, 4 << 20
 #: A key is hot when it holds at least 1 / HOT_SHARE of the rows: so at most HOT_SHARE keys are hot.
 HOT_SHARE = 4096
 HOT_LEAST = 200
@@ -25,6 +25,7 @@ SALTS = 64
 def tuned(spark: SparkSession) -> SparkSession:
     """Keep Arrow batches of whole documents within a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 

@@ -288,9 +288,9 @@ def covered(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     twice = scratch.save(_grams(rows, window).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "grams")
     total = twice.agg(F.sum("n")).first()[0] or 0
     most = max(common_least, total >> COMMON_BITS)
-    common = [r[0] for r in twice.filter(F.col("n") >= most).select("gram").collect()]  # at most 2**COMMON_BITS
+    common = twice.filter(F.col("n") >= most).select("gram").toPandas()["gram"].to_numpy(np.int64)  # at most 2**COMMON_BITS
     shared = spark.sparkContext.broadcast
-    bits, last = shared(_bitmap(twice)), shared(np.array(common, np.int64))
+    bits, last = shared(_bitmap(twice)), shared(common)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_size))
     spans = _merged(_runs(rows, parts, window, bits, last), parts, window)
     out = scratch.save(spans.groupBy(*DOC).agg(F.collect_list("spans").alias("spans")), "covered")  # at most a row's own
