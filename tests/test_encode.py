@@ -1,7 +1,10 @@
+import hashlib
 import struct
 import sys
 import time
 
+import pytest
+
 from texelflow.operators import encode
 
 SCRIPT = """
@@ -41,3 +44,39 @@ def test_runs_are_bounded(spark, tmp_path):
 
 def test_explicit_resampling_stays():
     assert encode.aligned(["-resample", "1", "1"], png(5, 5), 4) == ["-resample", "1", "1"] and encode.aligned([], b"?", 4) == []
+
+
+def test_empty_output_and_processes_left_behind(spark, tmp_path):
+    script = tmp_path / "left.py"
+    script.write_text("""
+import subprocess, sys
+out, data = sys.argv[sys.argv.index("-output_file") + 1], open(sys.argv[-1], "rb").read()
+if data == b"left":
+    subprocess.Popen(["sleep", "45"], start_new_session=True, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL)
+    import time; time.sleep(0.6)
+open(out, "wb").write(b"" if data == b"none" else data)
+""")
+    df = spark.createDataFrame([(k, bytearray(k.encode())) for k in ("none", "left", "good")], "path string, content binary")
+    got = {r["path"]: r for r in encode.encode(df, [sys.executable, str(script)]).collect()}
+    assert got["none"]["error"] == "encoder made an empty file" and bytes(got["good"]["payload"]) == b"good"
+    assert got["left"]["error"] == "encoder ended before processes that it started"
+    running = [p for own in encode._children().values() for p, _ in own if b"sleep\x0045" in _command(p)]
+    assert not running
+
+
+def _command(pid):
+    try:
+        with open(f"/proc/{pid}/cmdline", "rb") as f:
+            return f.read()
+    except OSError:
+        return b""
+
+
+def test_shipped_encoder(tmp_path):
+    program = b"#!/bin/sh\necho shipped\n"
+    good = hashlib.sha256(program).hexdigest()
+    at = encode.verified(program, good.upper(), str(tmp_path))
+    assert encode.bounded([at], str(tmp_path), 10, 1000).strip() == "shipped"
+    for wrong in (good, "0" * 64, "xyz", None):  # a file that is there is never written into
+        with pytest.raises(OSError):
+            encode.verified(program, wrong, str(tmp_path))
