@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..codecs import astc, astc_hdr, etc1s, packers, uastc
+from ..codecs import astc, astc_hdr, etc1s, hdr6x6i, packers, uastc
 from ..plans import catalog
 from ..sources import basis, ktx2
 
@@ -21,7 +21,8 @@ FAULTS = (ValueError, IndexError, StopIteration, RuntimeError, ZeroDivisionError
 
 #: Targets that have a way from each source.
 MADE = {"ETC1S": packers.PACKED, "UASTC_LDR_4x4": (*packers.PACKED, "ASTC_LDR_4X4")} | {name: (target, "BC6H", *astc_hdr.TARGETS) for name, (_, target) in astc.HDR.items()}
-READERS = {"ETC1S": etc1s.images, "UASTC_LDR_4x4": uastc.images} | dict.fromkeys(astc.HDR, astc.hdr_images)
+MADE["UASTC_HDR_6x6I"] = MADE["ASTC_HDR_6x6"]
+READERS = {"UASTC_HDR_6x6I": hdr6x6i.images, "ETC1S": etc1s.images, "UASTC_LDR_4x4": uastc.images} | dict.fromkeys(astc.HDR, astc.hdr_images)
 
 
 def _way(source: str | None, target: str) -> None:

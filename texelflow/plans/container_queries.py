@@ -415,6 +415,7 @@ def _samples() -> list[tuple[str, str, bytes]]:
         solid.put(v, n)
     solid = solid.done().ljust(16, b"\0")
     void = bytes.fromhex("FCFFFFFFFFFFFFFF003C003C003C003C")  # one HDR colour, which any block size has
+    hdr = written.hdr6x6i_stream(6, 6, [(1, 2, 3)], [0])
     one = np.zeros((1, 1), int)
     book = written.Etc1sWriter([(1, 2, 3, 4), (5, 6, 7, 0)], np.zeros((2, 16), int))
     stream = book.stream(one, one)
@@ -434,7 +435,8 @@ def _samples() -> list[tuple[str, str, bytes]]:
         ("UASTC_HDR_4x4", "basis", written.basis_file([(0, 0, 0, 4, 4, void)], 2)),
         ("ASTC_HDR_6x6", "ktx2", written.ktx2_file([void], 6, 6, m["ASTC"], (6, 6), vk=1000066004)),
         ("ASTC_HDR_6x6", "basis", written.basis_file([(0, 0, 0, 6, 6, void)], 3)),
-        ("UASTC_HDR_6x6I", "ktx2", written.ktx2_file([bytes(16)], 6, 6, m["UASTC_HDR_6x6I"], (6, 6), scheme=4)),
+        ("UASTC_HDR_6x6I", "ktx2", written.ktx2_file([hdr], 6, 6, m["UASTC_HDR_6x6I"], (6, 6), scheme=4, sgd=np.array([0, len(hdr), 0], "<u4").tobytes())),
+        ("UASTC_HDR_6x6I", "basis", written.basis_file([(0, 0, 0, 6, 6, hdr)], 4)),
         ("XUASTC_LDR_4x4", "ktx2", written.ktx2_file([xuastc], 4, 4, m["XUASTC_LDR"], scheme=5)),
         ("XUASTC_LDR_4x4", "basis", written.basis_file([(0, 0, 0, 4, 4, xuastc)], 5)),
         ("ASTC_LDR_4x4", "ktx2", written.ktx2_file([void], 4, 4, m["ASTC"], vk=157)),
@@ -443,8 +445,8 @@ def _samples() -> list[tuple[str, str, bytes]]:
 
 @query("""WITH t AS (SELECT unnest(['RGBA8', 'RGB565', 'BGR565', 'RGBA4444', 'ETC1', 'ETC2', 'ETC2_NO_ALPHA', 'ETC2_EAC_R11', 'ETC2_EAC_RG11', 'BC1', 'BC3', 'BC4', 'BC5', 'BC7', 'BC6H', 'RGB_HALF', 'RGBA_HALF', 'RGB_9E5', 'ASTC_HDR_4X4', 'ASTC_HDR_6X6', 'ASTC_LDR_4X4', 'ASTC_LDR_5X4', 'ASTC_LDR_5X5', 'ASTC_LDR_6X5', 'ASTC_LDR_6X6', 'ASTC_LDR_8X5', 'ASTC_LDR_8X6', 'ASTC_LDR_10X5', 'ASTC_LDR_10X6', 'ASTC_LDR_8X8', 'ASTC_LDR_10X8', 'ASTC_LDR_10X10', 'ASTC_LDR_12X10', 'ASTC_LDR_12X12']) AS target)
 , k AS (SELECT *, target IN ('BC6H', 'RGB_HALF', 'RGBA_HALF', 'RGB_9E5') AS hdr, starts_with(target, 'ASTC') AS astc FROM t)
-, s(source, containers) AS (VALUES ('PLAIN', ['ktx2']), ('ETC1S', ['ktx2', 'basis']), ('UASTC_LDR_4x4', ['ktx2', 'basis']), ('UASTC_HDR_4x4', ['ktx2', 'basis']), ('ASTC_HDR_6x6', ['ktx2', 'basis']), ('UASTC_HDR_6x6I', ['ktx2']), ('XUASTC_LDR_4x4', ['ktx2', 'basis']), ('ASTC_LDR_4x4', ['ktx2']))
-SELECT source, unnest(containers) AS container, target, CASE source WHEN 'PLAIN' THEN target = 'RGBA8' WHEN 'ETC1S' THEN NOT hdr AND NOT astc WHEN 'UASTC_LDR_4x4' THEN NOT hdr AND NOT astc OR target = 'ASTC_LDR_4X4' WHEN 'UASTC_HDR_4x4' THEN hdr OR target = 'ASTC_HDR_4X4' WHEN 'ASTC_HDR_6x6' THEN hdr OR target = 'ASTC_HDR_6X6' ELSE false END AS supported FROM s, k""")
+, s(source, containers) AS (VALUES ('PLAIN', ['ktx2']), ('ETC1S', ['ktx2', 'basis']), ('UASTC_LDR_4x4', ['ktx2', 'basis']), ('UASTC_HDR_4x4', ['ktx2', 'basis']), ('ASTC_HDR_6x6', ['ktx2', 'basis']), ('UASTC_HDR_6x6I', ['ktx2', 'basis']), ('XUASTC_LDR_4x4', ['ktx2', 'basis']), ('ASTC_LDR_4x4', ['ktx2']))
+SELECT source, unnest(containers) AS container, target, CASE source WHEN 'PLAIN' THEN target = 'RGBA8' WHEN 'ETC1S' THEN NOT hdr AND NOT astc WHEN 'UASTC_LDR_4x4' THEN NOT hdr AND NOT astc OR target = 'ASTC_LDR_4X4' WHEN 'UASTC_HDR_4x4' THEN hdr OR target = 'ASTC_HDR_4X4' WHEN 'ASTC_HDR_6x6' THEN hdr OR target = 'ASTC_HDR_6X6' WHEN 'UASTC_HDR_6x6I' THEN hdr OR target = 'ASTC_HDR_6X6' ELSE false END AS supported FROM s, k""")
 def dispatch_matrix(spark, sf):
     """Section 2.2 and generator G3: a file of every source in every target. What comes out has a payload, or a fault."""
     files = spark.createDataFrame([(f"{s}/{c}", bytearray(f)) for s, c, f in _samples()], "path string, content binary").repartition(4)
@@ -591,6 +593,34 @@ def bc7_partitioned_modes(spark, sf):
     return _mapped(table(spark, sf, "events").select("event_id"), run, "event_id bigint, mode int, texel int, grey bigint")
 
 
+@query("""WITH b AS (SELECT p_partkey, unnest(generate_series(0, 1 + p_partkey % 5)) AS block FROM part), c AS (SELECT *, CASE WHEN block = 0 THEN 0 ELSE 1 END AS own FROM b)
+SELECT p_partkey, block::INTEGER AS block, (p_partkey * 31 + own * 1000) % 31744 AS r, (p_partkey * 17 + own) % 31744 AS g, (p_partkey + own * 77) % 31744 AS b, 36 AS texels FROM c""")
+def hdr_intermediate_streams(spark, sf):
+    """Codec B24, section 2.2: 6x6 HDR intermediate streams in KTX2 files, to half floats of each block."""
+
+    def write(key):
+        out = []
+        for p in key:
+            n = 2 + p % 5
+            colours = [((p * 31 + j * 1000) % 31744, (p * 17 + j) % 31744, (p + j * 77) % 31744) for j in (0, 1)]
+            stream = written.hdr6x6i_stream(6 * n, 6, colours, [0, n - 2])
+            out.append((str(p), written.ktx2_file([b"xyz" + stream], 6 * n, 6, written.MODEL["UASTC_HDR_6x6I"], (6, 6), scheme=4, sgd=np.array([3, len(stream)], "<u4").tobytes())))
+        return out
+
+    def read(path, width, payload):
+        out = []
+        for p, w, raw in zip(path, width, payload, strict=True):
+            t = np.frombuffer(raw, "<u2").reshape(6, w, 3).astype(int)
+            for k in range(w // 6):
+                own = t[:, 6 * k : 6 * k + 6].reshape(-1, 3)
+                out.append((int(p), k, *own[0].tolist(), int((own == own[0]).all(1).sum())))
+        return out
+
+    files = _mapped(table(spark, sf, "part").select("p_partkey"), write, "path string, content binary")
+    rows = transcode.transcode(files, "RGB_HALF").select("path", "width", "payload")
+    return _mapped(rows, read, "p_partkey bigint, block int, r bigint, g bigint, b bigint, texels int")
+
+
 @query("SELECT event_id, true AS red, true AS green, true AS blue FROM events")
 def bc6h_blocks(spark, sf):
     """Codecs B26 and B27: HDR blocks of one colour become BC6H within a step of ten bits."""

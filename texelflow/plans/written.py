@@ -162,6 +162,22 @@ def basis_file(slices: Sequence[tuple[int, int, int, int, int, bytes]], code: in
     return bytes(head) + table + b"".join([*parts, *(s[5] for s in slices)])
 
 
+def hdr6x6i_stream(width: int, height: int, colours: Sequence[tuple[int, int, int]], runs: Sequence[int]) -> bytes:
+    """A 6x6 HDR intermediate stream of blocks of one colour (halves), each followed by a run of so many more."""
+    w = BitWriter()
+    for v in (0xABCE, width, height):
+        w.put(v, 16)
+    for colour, run in zip(colours, runs, strict=True):
+        w.put(0b100, 3)
+        for v in colour:
+            w.put(v, 15)
+        if run:
+            w.put(0b000, 3)
+            w.chunked(run - 1, 5)
+    w.put(0xA742, 16)
+    return w.done()
+
+
 def uastc_block(k: int, pattern: int, codes: Sequence[int], weights: Sequence[Sequence[int]], second: int, hints: int = 0) -> bytes:
     """A block of mode k: end point codes in order, weights (16, planes), hints of other formats as one number."""
     m = uastc.MODES[k]

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..codecs import astc, etc1s, uastc
+from ..codecs import astc, etc1s, hdr6x6i, uastc
 from .ktx2 import kind, little_endian, settled
 
 #: name, offset, bytes
@@ -16,7 +16,7 @@ HEADER_FIELDS = (("version", 2, 2), ("header_size", 4, 2), ("data_size", 8, 4),
 SLICE_FIELDS = (("image", 0, 3), ("level", 3, 1), ("flags", 4, 1), ("width", 5, 2), ("height", 7, 2), ("blocks_x", 9, 2), ("blocks_y", 11, 2), ("byte_offset", 13, 4), ("byte_length", 17, 4), ("crc", 21, 2))
 HEADER, SLICE = 77, 23
 #: By code; payloads of others have no decoder here.
-FORMATS = ("ETC1S", "UASTC_LDR_4x4", "UASTC_HDR_4x4", "ASTC_HDR_6x6")
+FORMATS = ("ETC1S", "UASTC_LDR_4x4", "UASTC_HDR_4x4", "ASTC_HDR_6x6", "UASTC_HDR_6x6I")
 TEXTURE_TYPES = ("2D", "2D_ARRAY", "CUBEMAP", "VIDEO", "VOLUME")
 
 
@@ -90,7 +90,12 @@ def images(content: bytes, target: str, image: int | None = None) -> Iterator[tu
         for k in wanted if image is None else [image]:
             for d in _levels(by_image.get(k, []), k, None):
                 size = (d["width"], d["height"])
-                yield k, d["level"], *size, uastc.image(data(d), *size, target) if coded == "UASTC_LDR_4x4" else astc.hdr_image(data(d), *size, coded, target)
+                if coded == "UASTC_LDR_4x4":
+                    yield k, d["level"], *size, uastc.image(data(d), *size, target)
+                elif coded == "UASTC_HDR_6x6I":
+                    yield k, d["level"], *size, hdr6x6i.image(data(d), *size, target)
+                else:
+                    yield k, d["level"], *size, astc.hdr_image(data(d), *size, coded, target)
         return
     part = lambda name, size: content[head[name] :][: head[size]]
     book = etc1s.codebook(part("endpoint_offset", "endpoint_size"), head["endpoints"], part("selector_offset", "selector_size"), head["selectors"], part("tables_offset", "tables_size"))
