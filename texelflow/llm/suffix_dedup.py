@@ -262,7 +262,7 @@ def _merged(runs: DataFrame, parts: int, window: int) -> DataFrame:
         if slices:
             yield from solve()
 
-    spread = runs.repartition(min(parts, TASKS), "part").sortWithinPartitions("part")
+    spread = runs.repartitionById(min(parts, TASKS), "part")  # one range a task, while there are tasks.sortWithinPartitions("part")
     return arrow_map(spread, run, "d1 bigint, d2 bigint, spans binary")
 
 
