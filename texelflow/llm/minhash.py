@@ -142,7 +142,8 @@ def sketched(docs: DataFrame, size: int = SHINGLE_WORDS, id_col: str = "doc_id",
     return arrow_map(rows, run, f"row bigint, id {kind}, doc string, same binary, sig binary, bands array<bigint>")
 
 
-Weighted = tuple[np.ndarray, np.ndarray]
+#: Sorted hashes and their weights; None: all 1.
+Weighted = tuple[np.ndarray, np.ndarray | None]
 
 
 def _packed(hashes: np.ndarray, weights: np.ndarray) -> bytes:
@@ -155,14 +156,18 @@ def _unpacked(raw: bytes) -> Weighted:
     n = (len(raw) - 1) // (9 if raw[0] else 5)
     out = np.zeros((n, 8), np.uint8)
     out[:, :5] = np.frombuffer(raw, np.uint8, 5 * n, 1).reshape(-1, 5)
-    return out.view("<u8").reshape(-1), (np.frombuffer(raw[1 + 5 * n :], "<u4").astype(float) if raw[0] else np.ones(n))
+    return out.view("<u8").reshape(-1), (np.frombuffer(raw[1 + 5 * n :], "<u4").astype(float) if raw[0] else None)
 
 
 def jaccard(a: Weighted, b: Weighted) -> float:
     """Sum of the lesser weights over that of the greater ones; of weights of 1 the Jaccard similarity of sets."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = np.minimum(a[1][i], b[1][j]).sum()
-    return both / max(1.0, a[1].sum() + b[1].sum() - both)
+    if a[1] is None and b[1] is None:
+        both = len(np.intersect1d(a[0], b[0], assume_unique=True))
+        return both / max(1, len(a[0]) + len(b[0]) - both)
+    (x, v), (y, w) = ((h, np.ones(len(h)) if n is None else n) for h, n in (a, b))
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    both = np.minimum(v[i], w[j]).sum()
+    return both / max(1.0, v.sum() + w.sum() - both)
 
 
 def solve(pdf: pd.DataFrame) -> pd.DataFrame:

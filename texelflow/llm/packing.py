@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_map, text_of
 
 DIMS, BITS = 4, 12
+#: Documents of a range of the curve, about: there are more ranges than the session's partitions if need be.
+RANGE_ROWS = 1_000_000
 #: Tokens fall into so many hashed features before the projection.
 FEATURES = 1 << 14
 
@@ -171,7 +173,7 @@ def pack(docs: DataFrame, length: int = 1024, vocabulary: str = "byte_bpe_50k.js
     kind = docs.schema[id_col].dataType.simpleString()
     scratch = Scratch(spark, "packing")
     coded = scratch.save(_encoded(docs, vocabulary, end_id, id_col, text_col, kind), "encoded")
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-coded.count() // RANGE_ROWS))
     by = ["curve", "id", "row"]
     light = coded.select(*by, "n").repartitionByRange(ranges, *by).sortWithinPartitions(*by).select("row", "n")
     placed = scratch.save(arrow_map(light, _running, "part int, row bigint, n bigint, before bigint"), "placed")
