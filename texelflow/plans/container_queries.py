@@ -525,6 +525,54 @@ def xuastc_headers(spark, sf):
     return _mapped(table(spark, sf, "part").select("p_partkey"), run, "p_partkey bigint, syntax string, block string, width bigint, height bigint, srgb boolean, alpha boolean, quality double, error string")
 
 
+def _transform_sql() -> str:
+    """Grids of 6 x 5 weights of a block of 8 x 6: three coefficients on the diagonals, their steps, and the sums of cosines."""
+    from ..codecs.weight_transform import STEPS
+
+    table = "[" + ", ".join(str(list(r)) for r in STEPS) + "]"
+    at = lambda v, n: f"least({v} * 8.0 / {n}, 7.0)"
+    mix = lambda r: f"((1 - (ax - floor(ax))) * {table}[1 + {r}::INT][1 + floor(ax)::INT] + (ax - floor(ax)) * {table}[1 + {r}::INT][1 + least(floor(ax)::INT + 1, 7)])"
+    cos = lambda u, x, n: f"(CASE WHEN {u} = 0 THEN sqrt(1.0 / {n}) ELSE sqrt(2.0 / {n}) END * cos(pi() * (2 * {x} + 1) * {u} / (2.0 * {n})))"
+    return f"""WITH e AS (SELECT event_id, event_id % 9 AS dc, 10 + event_id % 90 AS quality, (event_id * 7 % 400)::DOUBLE AS span, [1 + event_id % 3, 2 + event_id % 5, 9 + user_id % 4] AS place, [1 + user_id % 2, -1 - event_id % 2, 1] AS q FROM events)
+, d AS (SELECT x, y, row_number() OVER (ORDER BY x + y, CASE WHEN (x + y) % 2 = 0 THEN x ELSE -x END) - 1 AS n FROM (SELECT unnest(generate_series(0, 5)) AS x), (SELECT unnest(generate_series(0, 4)) AS y))
+, c AS (SELECT event_id, dc, quality, span, unnest([place[1], greatest(place[1] + 1, place[2]), place[3]]) AS n, unnest(q) AS q FROM e)
+, s AS (SELECT *, {at('x', 8)} AS ax, {at('y', 6)} AS ay, (CASE WHEN quality < 50 THEN 5000.0 / quality ELSE 200 - 2.0 * quality END) / 100 * 64 / greatest(span, 14.0) * pow(63.0 / 7, 0.1) AS scale FROM c JOIN d USING (n))
+, f AS (SELECT *, greatest(1, floor(((1 - (ay - floor(ay))) * {mix('floor(ay)')} + (ay - floor(ay)) * {mix('least(floor(ay) + 1, 7)')}) * scale + 0.5)) AS step FROM s)
+, k AS (SELECT event_id, x AS u, y AS v, CASE WHEN x + y = 1 THEN q * step ELSE sign(q) * (abs(q) + 0.5) * step END AS value FROM f)
+, g AS (SELECT event_id, dc, x, y FROM e, (SELECT unnest(generate_series(0, 5)) AS x), (SELECT unnest(generate_series(0, 4)) AS y))
+, w AS (SELECT g.event_id, g.x, g.y, any_value(dc) * 8 + sum(value * {cos('u', 'g.x', 6)} * {cos('v', 'g.y', 5)}) AS w FROM g JOIN k ON k.event_id = g.event_id GROUP BY ALL)
+SELECT event_id, x::INTEGER AS x, y::INTEGER AS y, least(64, greatest(0, trunc(w + CASE WHEN w >= 0 THEN 0.5 ELSE -0.5 END)))::BIGINT AS weight FROM w"""
+
+
+@query(_transform_sql())
+def transformed_weights(spark, sf):
+    """Codec B19, sort O7, section 2.10: arithmetically coded planes of coefficients, read and transformed back."""
+    from ..codecs import weight_transform as wt
+    from ..codecs import xuastc
+
+    def run(event, user):
+        out = []
+        for e, u in zip(event, user, strict=True):
+            places = [1 + e % 3, max(2 + e % 3, 2 + e % 5), 9 + u % 4]
+            values = [1 + u % 2, -1 - e % 2, 1]
+            models = lambda: (xuastc.SymbolModel(9), xuastc.SymbolModel(65), xuastc.SymbolModel(255))
+            w, (means, runs, sizes) = xuastc.Encoder(), models()
+            w.symbol(e % 9, means)
+            at = 1
+            for n, q in zip(places, values, strict=True):
+                w.symbol(n - at, runs)
+                w.bits(int(q < 0), 1)
+                w.symbol(abs(q) - 1, sizes)
+                at = n + 1
+            w.symbol(wt.LAST, runs)
+            plane = wt.read(xuastc.Decoder(w.done()), 30, *models())
+            grid = wt.weights(plane, (6, 5), (8, 6), 5, 10 + e % 90, float(e * 7 % 400))
+            out += [(e, x, y, int(grid[y, x])) for y in range(5) for x in range(6)]
+        return out
+
+    return _mapped(table(spark, sf, "events").select("event_id", "user_id"), run, "event_id bigint, x int, y int, weight bigint")
+
+
 @query("SELECT user_id, count(*) AS symbols, sum(event_id * event_id % 40)::BIGINT AS total, sum(event_id % 3 = 0)::BIGINT AS bits, sum(1 + event_id % 900)::BIGINT AS gammas, max(event_id % 17) AS most FROM events GROUP BY user_id")
 def arithmetic_streams(spark, sf):
     """Codec B15, aggregate A14: a stream a user of symbols, bits and gamma codes under adaptive models, read back."""
