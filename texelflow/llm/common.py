@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import itertools
 import os
 import tempfile
@@ -119,9 +120,22 @@ def salted_join(rows: DataFrame, table: DataFrame, key: list[str], hot: DataFram
     return left.join(right, [*key, "__salt"], how).drop("__salt")
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on after a task and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every system has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
     tuned(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(run, schema)
 
 
 #: Lists of rows are broadcast up to this count, else joined by a shuffle.

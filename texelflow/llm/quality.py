@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, text_of
+from .common import arrow_map, release, text_of
 from .text_hash import grouped, mix, words
 
 BITS = 18
@@ -68,18 +68,29 @@ def _sparse(texts: list[str], bits: int = BITS) -> list[tuple[np.ndarray, np.nda
     return [np.unique(idx[at[k] : at[k + 1]], return_counts=True) for _, idx, at in features(texts, bits) for k in range(len(at) - 1)]
 
 
+def _packed(places: np.ndarray, counts: np.ndarray) -> bytes:
+    """A byte that says how wide the counts are, the places in four bytes each, the counts."""
+    wide = 1 if counts.max(initial=0) < 256 else 4
+    return bytes([wide]) + places.astype("<u4").tobytes() + counts.astype(f"<u{wide}").tobytes()
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = (len(raw) - 1) // (4 + raw[0])
+    return np.frombuffer(raw, "<u4", n, 1), np.frombuffer(raw, f"<u{raw[0]}", n, 1 + 4 * n)
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Weights and bias after passes of FTRL-proximal updates over rows of (places, counts)."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
-    valued = [(np.append(places, 1 << bits), np.append(count * (SCALE / max(1, count.sum())), 1.0)) for places, count in rows]
 
     def weights(i):
         return np.where(np.abs(z[i]) <= L1, 0.0, -(z[i] - np.sign(z[i]) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
     order = np.random.default_rng(11)
     for _ in range(epochs):
-        for k in order.permutation(len(valued)):
-            i, x = valued[k]
+        for k in order.permutation(len(rows)):
+            places, count = rows[k]
+            i, x = np.append(places, 1 << bits), np.append(count * (SCALE / max(1, count.sum())), 1.0)  # the bias is a feature of 1
             w = weights(i)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
             g = (p - labels[k]) * x
@@ -112,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.concatenate(r).astype("<i4").tobytes() for r in _sparse(batch.column(2).to_pylist())]
+            rows = [_packed(*r) for r in _sparse(batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["id", "y", "row"])
 
     reduced = arrow_map(texts.select("id", "y", "text"), reduce, f"id {kind}, y double, row binary")
@@ -120,9 +131,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "y"], kind="stable")
-        rows = [np.frombuffer(r, "<i4").reshape(2, -1) for r in pdf["row"]]
-        w, bias = train([(r[0], r[1]) for r in rows], pdf["y"].to_numpy())
-        return pd.DataFrame({"w": [w.tobytes()], "bias": [bias]})
+        w, bias = train([_unpacked(r) for r in pdf["row"]], pdf["y"].to_numpy())
+        out = pd.DataFrame({"w": [w.tobytes()], "bias": [bias]})
+        del pdf
+        release()
+        return out
 
     got = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "w binary, bias double").collect()
     return (np.frombuffer(got[0][0], np.float32), got[0][1]) if got else (np.zeros(1 << BITS, np.float32), 0.0)
