@@ -88,9 +88,10 @@ class Renamed:
         self.df = docs.toDF(*[f"c{i}" for i in range(len(self.names))])
 
     def at(self, name: str) -> str:
-        if name not in self.names:
-            name = next(n for n in self.names if n.lower() == name.lower())
-        return f"c{self.names.index(name)}"
+        found = [i for i, n in enumerate(self.names) if n == name] or [i for i, n in enumerate(self.names) if n.lower() == name.lower()]
+        if not found:
+            raise ValueError(f"no column {name} among {', '.join(self.names)}")
+        return f"c{found[0]}"
 
     def back(self, df: DataFrame, **more: Column) -> DataFrame:
         """The table's columns under their names, those in `more` replaced or added at the end."""
