@@ -17,7 +17,7 @@ from ..operators import encode, slices, transcode
 from ..sources import basis, formats, ktx2
 from ..streaming import video
 from . import catalog, written
-from .registry import laid_out, le, query, table
+from .registry import folder, laid_out, le, query, table
 
 #: Hex of n bytes (k * 3 + i) % 256 from i on, in SQL and as a Column.
 BYTES_SQL = lambda k, first, n: f"array_to_string([upper(lpad(to_hex(({k} * 3 + i) % 256), 2, '0')) for i in range({first}, {first} + {n})], '')"
@@ -208,6 +208,15 @@ def container_sniff(spark, sf):
     return table(spark, sf, "part").select("p_partkey", ktx2.looks_like(name, F.unhex(start)).alias("container"))
 
 
+@query("SELECT n_nationkey::BIGINT AS nation, n_name || chr(10) AS content FROM nation")
+def file_scan(spark, sf):
+    """Sources S1 and S2: whole files of a folder and the folders below it, by their names' ending."""
+    at = folder(spark, "files")
+    table(spark, sf, "nation").select("n_name", F.col("n_nationkey").alias("nation")).write.partitionBy("nation").text(at)
+    rows = ktx2.read(spark, at, "*.txt")
+    return rows.select(F.regexp_extract("path", r"nation=(\d+)/", 1).cast("bigint").alias("nation"), F.col("content").cast("string").alias("content"))
+
+
 # ---- streams
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +29,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, below spark.checkpoint.dir; only with a local master that may be
+    unset. It goes when the session's process ends."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not (spark.sparkContext.master or "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    own = f"{(at or tempfile.gettempdir()).rstrip('/')}/texelflow-{name}-{uuid.uuid4().hex}"
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before its process
+            place = spark._jvm.org.apache.hadoop.fs.Path(own)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    atexit.register(drop)
+    return own
+
+
 def le(x: Column | int, size: int) -> Column:
     """Hex of a whole number's bytes, lowest first."""
     x = F.lit(x) if isinstance(x, int) else x
