@@ -108,13 +108,14 @@ class BlobLedger:
             return self.spark.createDataFrame([], self.SCHEMA)
         return self.spark.read.schema(self.SCHEMA).parquet(self.path)
 
-    def add(self, texts: DataFrame, scratch: Scratch, rules=RULES, version: str = RULE_VERSION) -> int:
+    def add(self, texts: DataFrame, blobs: DataFrame, scratch: Scratch, rules=RULES, version: str = RULE_VERSION) -> int:
         """Scan the texts (blob, text) whose pair with this version of the rules is unseen; the number of those seen.
+        blobs: the same rows' blobs alone, from a written table.
 
         Blobs are counted and held against the ledger without their texts. Texts that occur once and are unseen
         are scanned where they are read; only the others (and those that share a fold with one) move, one a task."""
         seen = self.table().filter(F.col("rule_version") == version).select("blob", F.lit(True).alias("old"))
-        counted = texts.groupBy("blob").agg(F.count("*").alias("n")).join(seen, "blob", "left").filter("n > 1 or old")
+        counted = blobs.groupBy("blob").agg(F.count("*").alias("n")).join(seen, "blob", "left").filter("n > 1 or old")
         again = scratch.save(counted, f"again-{scratch.next()}")
         marked = _folded(texts, "blob", again)
         moved = marked.filter("there").groupBy("blob").agg(F.first("text").alias("text"))
@@ -130,13 +131,15 @@ class BlobLedger:
         return self.table().filter((F.col("rule_version") == version) & (F.size("found") > 0)).groupBy("blob").agg(F.first("found").alias("found"))
 
 
-def _scanned(rows: DataFrame, id_: str, text: Column, ledger: BlobLedger, scratch: Scratch, rules, version: str, batches: int) -> DataFrame:
-    """Add the rows' texts to the ledger in batches, each meeting what the ones before it left; rows with blob."""
+def _scanned(rows: DataFrame, id_: str, text: Column, ledger: BlobLedger, scratch: Scratch, rules, version: str, batches: int) -> tuple[DataFrame, DataFrame]:
+    """Add the rows' texts to the ledger in batches, each meeting what the ones before it left. Gives the rows with
+    blob, and a written table of row, id and blob."""
     rows = rows.withColumn("blob", F.sha2(text, 256))
+    paths = scratch.save(rows.select(F.monotonically_increasing_id().alias("row"), F.col(id_).alias("id"), "blob"), "paths")
     for b in range(batches):
-        batch = rows if batches == 1 else rows.filter(F.pmod(F.xxhash64(id_), F.lit(batches)) == b)
-        ledger.add(batch.select("blob", text.alias("text")), scratch, rules, version)
-    return rows
+        own = lambda df, c: df if batches == 1 else df.filter(F.pmod(F.xxhash64(c), F.lit(batches)) == b)  # noqa: B023, E731
+        ledger.add(own(rows, id_).select("blob", text.alias("text")), own(paths, "id").select("blob"), scratch, rules, version)
+    return rows, paths
 
 
 def scan(docs: DataFrame, ledger: BlobLedger | None = None, rules=RULES, version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
@@ -146,8 +149,7 @@ def scan(docs: DataFrame, ledger: BlobLedger | None = None, rules=RULES, version
     own = Renamed(docs)
     id_ = own.at(id_col)
     ledger = ledger or BlobLedger(spark, scratch.path("ledger"))
-    rows = _scanned(own.df, id_, text_of(own.at(text_col)), ledger, scratch, rules, version, batches)
-    paths = scratch.save(rows.select(F.monotonically_increasing_id().alias("row"), F.col(id_).alias("id"), "blob"), "paths")
+    _, paths = _scanned(own.df, id_, text_of(own.at(text_col)), ledger, scratch, rules, version, batches)
     hot = hot_keys(paths.groupBy("blob").agg(F.count("*").alias("n")), ["blob"], "n", paths.count())
     scratch.keep("paths")
     out = salted_join(paths, ledger.findings(version), ["blob"], hot, F.col("row"), "left")
@@ -169,7 +171,7 @@ def without_secrets(docs: DataFrame, ledger: BlobLedger | None = None, id_col: s
     ledger = ledger or BlobLedger(spark, scratch.path("ledger"))
     own = Renamed(docs)
     text = own.at(text_col)
-    rows = _scanned(own.df, own.at(id_col), text_of(text), ledger, scratch, RULES, RULE_VERSION, 1)
+    rows, _ = _scanned(own.df, own.at(id_col), text_of(text), ledger, scratch, RULES, RULE_VERSION, 1)
     cuts = scratch.save(ledger.findings().select("blob", F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("found")), "cuts")
     marked = _folded(rows, "blob", cuts)
     some = marked.filter("there").drop("there")  # rows without a finding don't move
