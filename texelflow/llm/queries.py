@@ -92,7 +92,24 @@ SELECT page_id, host, path, rule, coalesce(ruled.action, CASE WHEN coalesce(t.t
 """
 
 
+def _secrets_sql() -> str:
+    """The base rules by DuckDB's own expressions: matches and the pieces between them alternate."""
+    quotes = "[\"''\"]?"  # a single quote is doubled in SQL
+    rules = (("assign", f"(?i:password|passwd|secret|token|api_?key){quotes}\\x20*[:=]\\x20*{quotes}([A-Za-z0-9+/_.=-]+)", 1, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))
+    found = " UNION ALL ".join(
+        f"SELECT rn, '{kind}' AS kind, {k} AS ord, {least} AS least, unnest(generate_series(1, len(regexp_extract_all(t, '{p}')))) AS i, unnest(regexp_extract_all(t, '{p}')) AS m, unnest(regexp_extract_all(t, '{p}', {g})) AS g, unnest(string_split_regex(t, '{p}')[:len(regexp_extract_all(t, '{p}'))]) AS piece FROM d"
+        for k, (kind, p, g, least) in enumerate(rules)
+    )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t FROM documents), f AS ({found})
+, e AS (SELECT *, sum(length(piece) + length(m)) OVER (PARTITION BY rn, ord ORDER BY i) AS stop FROM f)
+, s AS (SELECT rn, kind, ord, (stop - length(m))::BIGINT AS start, stop::BIGINT AS stop FROM e WHERE length(g) >= least)
+, a AS (SELECT rn, count(*) FILTER (ord = 0) AS n0, count(*) FILTER (ord = 1) AS n1, count(*) FILTER (ord = 2) AS n2, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans FROM s GROUP BY rn)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (rn)"""
+
+
 ORACLES: dict[str, str] = {
+    "op8_blob_ledger_secrets": _secrets_sql(),
     "op2_progressive_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
