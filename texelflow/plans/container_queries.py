@@ -58,7 +58,7 @@ def ktx2_level_index(spark, sf):
     return rows.select(F.col("path").cast("bigint").alias("p_partkey"), "level", "byte_offset", "byte_length", "uncompressed_length", "error")
 
 
-@query("""WITH p AS (SELECT p_partkey, [163, 166, 167, 168, 169, 162, 99, 162][1 + p_partkey % 8] AS model, CASE p_partkey % 8 WHEN 5 THEN 1000066004 WHEN 7 THEN 150 + p_partkey % 40 ELSE 0 END AS vk, 4 + p_partkey % 3 AS bw, 4 + p_partkey % 5 AS bh, p_partkey % 3 AS transfer FROM part)
+@query("""WITH p AS (SELECT p_partkey, [163, 166, 167, 168, 169, 162, 99, 162][1 + p_partkey % 8]::BIGINT AS model, CASE p_partkey % 8 WHEN 5 THEN 1000066004 WHEN 7 THEN 150 + p_partkey % 40 ELSE 0 END AS vk, 4 + p_partkey % 3 AS bw, 4 + p_partkey % 5 AS bh, p_partkey % 3 AS transfer FROM part)
 , f AS (SELECT *, CASE WHEN model = 163 THEN 'ETC1S' WHEN model = 166 THEN 'UASTC_LDR_4x4' WHEN model = 167 THEN 'UASTC_HDR_4x4' WHEN model = 168 THEN 'UASTC_HDR_6x6I' WHEN model = 169 THEN 'XUASTC_LDR_' || bw || 'x' || bh WHEN model = 162 AND vk = 1000066004 AND bw = 6 AND bh = 6 THEN 'ASTC_HDR_6x6' WHEN model = 162 AND vk BETWEEN 157 AND 184 THEN 'ASTC_LDR_' || bw || 'x' || bh END AS texture_format FROM p)
 SELECT p_partkey, model, transfer, bw AS block_width, bh AS block_height, texture_format, CASE WHEN texture_format IS NULL THEN 'unknown colour model' END AS error FROM f""")
 def ktx2_descriptors(spark, sf):
