@@ -108,7 +108,21 @@ WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t FR
 SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (rn)"""
 
 
+#: All strings of 200 bytes, one by one: those found twice, what they cover, and the bytes between.
+_REPEATS_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rn, doc_id, encode(coalesce(text, '')) AS b FROM documents), n AS (SELECT *, octet_length(b) AS n FROM d)
+, w AS MATERIALIZED (SELECT rn, s, array_slice(b, s + 1, s + 200) AS x FROM (SELECT rn, b, unnest(range(0, n - 199)) AS s FROM n WHERE n >= 200))
+, r AS (SELECT rn, s FROM w SEMI JOIN (SELECT x FROM w GROUP BY x HAVING count(*) > 1) USING (x))
+, m AS (SELECT rn, s, coalesce(s - lag(s) OVER p > 200, true)::INT AS begins FROM r WINDOW p AS (PARTITION BY rn ORDER BY s))
+, g AS (SELECT rn, s, sum(begins) OVER (PARTITION BY rn ORDER BY s) AS run FROM m)
+, c AS (SELECT rn, run, min(s) AS a, max(s) + 200 AS z FROM g GROUP BY rn, run)
+, l AS (SELECT rn, sum(z - a)::BIGINT AS removed, count(*) AS spans, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM c GROUP BY rn)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+ sha256(CASE WHEN spans IS NULL THEN b ELSE list_reduce([array_slice(b, CASE WHEN i = 0 THEN 1 ELSE z[i] + 1 END, CASE WHEN i = len(a) THEN n ELSE a[i + 1] END) for i in range(len(a) + 1)], lambda p, q: p || q) END) AS kept_sha256 FROM n LEFT JOIN l USING (rn)"""
+
+
 ORACLES: dict[str, str] = {
+    "op9_suffix_dedup": _REPEATS_SQL,
     "op8_blob_ledger_secrets": _secrets_sql(),
     "op2_progressive_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
