@@ -121,7 +121,20 @@ SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans,
  sha256(CASE WHEN spans IS NULL THEN b ELSE list_reduce([array_slice(b, CASE WHEN i = 0 THEN 1 ELSE z[i] + 1 END, CASE WHEN i = len(a) THEN n ELSE a[i + 1] END) for i in range(len(a) + 1)], lambda p, q: p || q) END) AS kept_sha256 FROM n LEFT JOIN l USING (rn)"""
 
 
+#: Sets of five words, their shared members, links, and all that links lead to.
+_NEAR_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_UPPER}), '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') AS w FROM documents)
+, s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i + 4], ' ') for i in range(1, greatest(len(w) - 4, 1) + 1)]) AS g FROM d WHERE len(w) > 0)
+, n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)
+, p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+, l AS MATERIALIZED (SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE c >= 0.8 * (i.n + j.n - c) UNION ALL SELECT doc_id, lead(doc_id) OVER (ORDER BY doc_id) FROM d WHERE len(w) = 0)
+, e AS MATERIALIZED (SELECT x, y FROM l WHERE y IS NOT NULL UNION ALL SELECT y, x FROM l WHERE y IS NOT NULL)
+, r(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.other = e.x)
+SELECT doc_id, max(other) AS class_id, count(*) AS class_size, doc_id = max(other) AS kept FROM r GROUP BY doc_id"""
+
+
 ORACLES: dict[str, str] = {
+    "op7_dart_minhash": _NEAR_SQL,
     "op9_suffix_dedup": _REPEATS_SQL,
     "op8_blob_ledger_secrets": _secrets_sql(),
     "op2_progressive_exact_dedup": """
