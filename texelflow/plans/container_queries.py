@@ -1022,7 +1022,8 @@ def packed_block_errors(spark, sf):
         off = lambda t: np.abs(t[..., :3].astype(int) - v[:, :, None]).max((1, 2))
         limits = {"bc1": span / 6 + 10, "bc7": span / 30 + 3, "etc1": span / 2 + 12}
         got = {"bc1": bc.bc1_texels(bc.bc1(grey[..., :3])), "bc7": bc7.texels(bc.pack_bc7(grey)), "etc1": etc1.texels(etc1.pack(grey[..., :3]))}
-        return [(k, int(s), *(bool(off(got[n])[j] <= limits[n][j]) for n in got)) for j, (k, s) in enumerate(zip(key, span, strict=True))]
+        within = [(off(t) <= limits[n]).tolist() for n, t in got.items()]
+        return list(zip(key, span.tolist(), *within, strict=True))
 
     rows = table(spark, sf, "embeddings").filter(F.size("embedding") == 64).select("vec_id", "embedding")
     return _mapped(rows, run, "vec_id bigint, span bigint, bc1 boolean, bc7 boolean, etc1 boolean")
