@@ -38,6 +38,17 @@ def _mapped(df: DataFrame, f: Callable[..., list[tuple]], schema: str) -> DataFr
     return df.mapInPandas(run, schema)
 
 
+def _spread(df: DataFrame, f: Callable[..., dict], schema: str) -> DataFrame:
+    """Rows of f for each row's values: a dict of arrays, or of a value for all. One row's are held at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False, name=None):
+                yield pd.DataFrame(f(*row))
+
+    return df.mapInPandas(run, schema)
+
+
 def _headers(spark: SparkSession, sf: str, words: dict[int, Column | int], size: int, more: list[tuple[int, int, Column | int]] = []) -> DataFrame:  # noqa: B006
     """A KTX2 file for each part: words by offset in the header, and more fields (offset, bytes, number)."""
     start = {16: 1, 20: 8, 24: 8, 36: 1, 40: 1}
@@ -330,24 +341,44 @@ _ETC1S_SQL = f"""WITH n AS (SELECT count(*) AS ns FROM supplier), c AS (SELECT c
 """
 
 
+#: Block rows of a file: images are limited to 16384 texels a side, and stored tables to 16383 symbols, so a nation of more
+#: customers has several files, one below the other, each with palettes of the suppliers its own blocks name.
+_BAND = 512
+
+
 def _etc1s_files(spark, sf):
-    """A file for each nation: a block a customer, eight in a row; palettes of the suppliers; alpha in a slice of its own."""
+    """Files nation/band of each nation: a block a customer, eight in a row; palettes of the suppliers; alpha in a slice of
+    its own."""
     palette = table(spark, sf, "supplier").agg(F.count("*").alias("ns"))  # one row
     rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
     rows = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", (rank - 1).alias("rn")).join(F.broadcast(palette))
+    rows = rows.withColumn("band", F.floor(F.col("rn") / (8 * _BAND)).cast("bigint")).repartition("nation", "band")
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         ns = int(pdf["ns"].iloc[0])
-        s = np.arange(ns)
-        book = written.Etc1sWriter(list(zip(*((f % 32).tolist() for f in (s, s * 5 + 1, s * 11 + 2)), (s % 8).tolist(), strict=True)), (s[:, None] * 5 + np.arange(16) * 3) % 4)
         pdf = pdf.sort_values("rn")
         cells = -(-len(pdf) // 8) * 8
-        grid = lambda v: np.pad(v.to_numpy() % ns, (0, cells - len(v))).reshape(-1, 8)
-        k = pdf["c_custkey"]
-        colour, alpha = book.stream(grid(k), grid(k * 7)), book.stream(grid(k * 3), grid(k * 7))
-        return pd.DataFrame({"path": [str(pdf["nation"].iloc[0])], "content": [written.etc1s_ktx2(book, colour, alpha, 32, cells // 2)]})
+        k = pdf["c_custkey"].to_numpy()
+        grid = lambda v: np.pad(v % ns, (0, cells - len(v))).reshape(-1, 8)
+        ends, (e, a) = _named(grid(k), grid(k * 3))
+        sels, (s,) = _named(grid(k * 7))
+        book = written.Etc1sWriter(list(zip(*((f % 32).tolist() for f in (ends, ends * 5 + 1, ends * 11 + 2)), (ends % 8).tolist(), strict=True)), (sels[:, None] * 5 + np.arange(16) * 3) % 4)
+        path = f"{pdf['nation'].iloc[0]}/{pdf['band'].iloc[0]}"
+        return pd.DataFrame({"path": [path], "content": [written.etc1s_ktx2(book, book.stream(e, s), book.stream(a, s), 32, cells // 2)]})
+
+    return rows.groupBy("nation", "band").applyInPandas(write, "path string, content binary")
+
+
+def _named(*grids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The numbers that grids hold, least first, and the grids of their places."""
+    numbers = np.unique(np.concatenate([g.reshape(-1) for g in grids]))
+    return numbers, [np.searchsorted(numbers, g) for g in grids]
 
-    return rows.groupBy("nation").applyInPandas(write, "path string, content binary")
+
+def _place(path: str) -> tuple[int, int]:
+    """Nation and first block row of a file."""
+    nation, band = map(int, path.split("/"))
+    return nation, band * _BAND
 
 
 @query(_ETC1S_SQL + "SELECT nation::BIGINT AS nation, x, y, rgb[1] AS r, rgb[2] AS g, rgb[3] AS b, a FROM colour")
@@ -357,13 +388,12 @@ def etc1s_container_texels(spark, sf):
     rows = transcode.transcode(_etc1s_files(spark, sf), "RGBA8")
 
     def texels(path, width, height, payload):
-        out = []
-        for p, w, h, raw in zip(path, width, height, payload, strict=True):
-            rgba = np.frombuffer(raw, np.uint8).reshape(h, w, 4).astype(int)
-            out += [(int(p), x, y, *rgba[y, x].tolist()) for y in range(h) for x in range(w)]
-        return out
+        nation, first = _place(path)
+        at = np.arange(width * height)
+        rgba = np.frombuffer(payload, np.uint8).reshape(-1, 4).astype(np.int64)
+        return {"nation": nation, "x": at % width, "y": at // width + first * 4} | {c: rgba[:, k] for k, c in enumerate("rgba")}
 
-    return _mapped(rows.select("path", "width", "height", "payload"), texels, "nation bigint, x bigint, y bigint, r bigint, g bigint, b bigint, a bigint")
+    return _spread(rows.select("path", "width", "height", "payload"), texels, "nation bigint, x bigint, y bigint, r bigint, g bigint, b bigint, a bigint")
 
 
 @query("""WITH n AS (SELECT count(*) AS ns FROM supplier), c AS (SELECT c_nationkey::BIGINT AS nation, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS rn FROM customer)
@@ -375,7 +405,7 @@ def etc1s_as_etc1(spark, sf):
     rows = transcode.transcode(_etc1s_files(spark, sf), "ETC1")
 
     def read(path, payload):
-        return [(int(p), k, *map(int, raw[8 * k : 8 * k + 3]), raw[8 * k + 3] & ~1) for p, raw in zip(path, payload, strict=True) for k in range(len(raw) // 8)]
+        return [(_place(p)[0], _place(p)[1] * 8 + k, *map(int, raw[8 * k : 8 * k + 3]), raw[8 * k + 3] & ~1) for p, raw in zip(path, payload, strict=True) for k in range(len(raw) // 8)]
 
     return _mapped(rows.select("path", "payload"), read, "nation bigint, block bigint, r bigint, g bigint, b bigint, code bigint")
 
@@ -794,7 +824,7 @@ def etc1s_as_bc5(spark, sf):
 
     def read(path, payload):
         half = lambda b: (b[0], b[1], int.from_bytes(b[2:8], "little"))
-        return [(int(p), k, *half(raw[16 * k : 16 * k + 8]), *half(raw[16 * k + 8 : 16 * k + 16])) for p, raw in zip(path, payload, strict=True) for k in range(len(raw) // 16)]
+        return [(_place(p)[0], _place(p)[1] * 8 + k, *half(raw[16 * k : 16 * k + 8]), *half(raw[16 * k + 8 : 16 * k + 16])) for p, raw in zip(path, payload, strict=True) for k in range(len(raw) // 16)]
 
     return _mapped(rows.select("path", "payload"), read, "nation bigint, block bigint, r_hi bigint, r_lo bigint, r_selectors bigint, a_hi bigint, a_lo bigint, a_selectors bigint")
 
