@@ -405,9 +405,11 @@ def etc1s_as_etc1(spark, sf):
     rows = transcode.transcode(_etc1s_files(spark, sf), "ETC1")
 
     def read(path, payload):
-        return [(_place(p)[0], _place(p)[1] * 8 + k, *map(int, raw[8 * k : 8 * k + 3]), raw[8 * k + 3] & ~1) for p, raw in zip(path, payload, strict=True) for k in range(len(raw) // 8)]
+        nation, first = _place(path)
+        raw = np.frombuffer(payload, np.uint8).reshape(-1, 8).astype(np.int64)
+        return {"nation": nation, "block": np.arange(len(raw)) + first * 8} | {c: raw[:, k] for k, c in enumerate("rgb")} | {"code": raw[:, 3] & ~1}
 
-    return _mapped(rows.select("path", "payload"), read, "nation bigint, block bigint, r bigint, g bigint, b bigint, code bigint")
+    return _spread(rows.select("path", "payload"), read, "nation bigint, block bigint, r bigint, g bigint, b bigint, code bigint")
 
 
 @query("""WITH d AS (SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) AS frame, event_id * 5 % 16 AS place, event_id % 97 AS value FROM events), p AS (SELECT unnest(generate_series(0, 15)) AS place)
