@@ -19,7 +19,7 @@ def tables(tmp_path_factory):
     return str(at), con
 
 
-@pytest.mark.parametrize("name", ["etc1s_container_texels", "etc1s_as_etc1"])
+@pytest.mark.parametrize("name", ["etc1s_container_texels", "etc1s_as_etc1", "etc1s_as_bc5"])
 def test_nations_of_several_files(spark, tables, tmp_path, name):
     at, con = tables
     QUERIES[name](spark, at).write.parquet(f"{tmp_path}/got")

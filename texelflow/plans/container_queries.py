@@ -825,10 +825,12 @@ def etc1s_as_bc5(spark, sf):
     rows = transcode.transcode(_etc1s_files(spark, sf), "BC5")
 
     def read(path, payload):
-        half = lambda b: (b[0], b[1], int.from_bytes(b[2:8], "little"))
-        return [(_place(p)[0], _place(p)[1] * 8 + k, *half(raw[16 * k : 16 * k + 8]), *half(raw[16 * k + 8 : 16 * k + 16])) for p, raw in zip(path, payload, strict=True) for k in range(len(raw) // 16)]
+        nation, first = _place(path)
+        raw = np.frombuffer(payload, np.uint8).reshape(-1, 2, 8).astype(np.int64)
+        half = lambda c, b: {f"{c}_hi": b[:, 0], f"{c}_lo": b[:, 1], f"{c}_selectors": (b[:, 2:] << 8 * np.arange(6)).sum(1)}
+        return {"nation": nation, "block": np.arange(len(raw)) + first * 8} | half("r", raw[:, 0]) | half("a", raw[:, 1])
 
-    return _mapped(rows.select("path", "payload"), read, "nation bigint, block bigint, r_hi bigint, r_lo bigint, r_selectors bigint, a_hi bigint, a_lo bigint, a_selectors bigint")
+    return _spread(rows.select("path", "payload"), read, "nation bigint, block bigint, r_hi bigint, r_lo bigint, r_selectors bigint, a_hi bigint, a_lo bigint, a_selectors bigint")
 
 
 _S8 = lambda c, m: f"((({c} * {m} + 128) + (({c} * {m} + 128) >> 8)) >> 8)"
