@@ -851,13 +851,19 @@ def uastc_pixel_targets(spark, sf):
         return out
 
     def read(path, target, payload):
+        alike: dict[tuple[str, int], list[int]] = {}
+        for k, (t, raw) in enumerate(zip(target, payload, strict=True)):
+            alike.setdefault((t, len(raw)), []).append(k)
         out = []
-        for p, t, raw in zip(path, target, payload, strict=True):
-            v = np.frombuffer(raw, "<u4" if t == "RGBA8" else "<u2")
-            out.append((int(p), t, int(v[0]) if (v == v[0]).all() else -1, len(v)))
+        for (t, size), own in alike.items():
+            v = np.frombuffer(b"".join(payload[k] for k in own), "<u4" if t == "RGBA8" else "<u2").reshape(len(own), -1)
+            value = np.where((v == v[:, :1]).all(1), v[:, 0].astype(np.int64), -1).tolist()
+            out += [(int(path[k]), t, x, v.shape[1]) for k, x in zip(own, value, strict=True)]
         return out
 
-    files = _mapped(table(spark, sf, "part").select("p_partkey", "p_size"), write, "path string, content binary")
+    # a small table of rows that each take long: its few splits would leave most cores without work
+    parts = table(spark, sf, "part").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    files = _mapped(parts, write, "path string, content binary")
     rows = transcode.transcode_each(files, F.array(*[F.lit(t) for t in ("RGBA8", "RGB565", "BGR565", "RGBA4444")]))
     each = _mapped(rows.select("path", "target", "payload"), read, "p_partkey bigint, target string, value bigint, n int")
     of = lambda t, name: F.max(F.when(F.col("target") == t, F.col("value"))).alias(name)

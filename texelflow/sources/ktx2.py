@@ -26,7 +26,10 @@ def little_endian(content: Column, offset: Column | int, size: int) -> Column:
     """Unsigned number of `size` bytes, null past the end. Byte by byte: reverse() would go through a string."""
     at = F.lit(offset) if isinstance(offset, int) else offset
     hexed = F.concat(*[F.hex(F.substring(content, (at + k + 1).cast("int"), F.lit(1))) for k in reversed(range(size))])
-    number = F.conv(hexed, 16, 10).cast("decimal(20,0)")
+    number = F.conv(hexed, 16, 10)
+    if size < 8:
+        return F.when(F.length(hexed) == 2 * size, number.cast("bigint"))
+    number = number.cast("decimal(20,0)")
     return F.when(F.length(hexed) == 2 * size, F.when(number <= 2**63 - 1, number.cast("bigint")))
 
 
